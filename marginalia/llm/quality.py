@@ -91,7 +91,7 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         *[count(k).alias(f"n_{k}") for k in "mtls"],
         F.regexp_count("t", F.lit(MOJIBAKE)).alias("mojibake"),
         F.regexp_count("t", F.lit(r"[\p{L}\p{N}][\"'»”’)\]]*[.!?…](?:\s|[\"'»”’)\]]|$)|[。！？]")).alias("sentences"),
-        F.length(F.regexp_replace("t", r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]+", "")).alias("ideographs"),
+        F.length(F.regexp_replace(F.regexp_replace("t", r"[\x00-\u0dff]+", ""), r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]+", "")).alias("ideographs"),
         F.array(*[F.struct(c.alias("n"), F.lit(k).alias("k")) for c, k in zip(common, COMMON)]).alias("langs"),
     )
     best = F.array_max("langs")
