@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.skew import salted_left_join
-from marginalia.session import written
 
 
 @dataclass(frozen=True)
@@ -20,16 +19,19 @@ class Layout:
 
     ``cell_rows``: vectors a cell holds on average; ``probes``: cells that each
     vector meets; ``reach``: nearest cells of a cell from which those are taken;
-    ``group_rows``: vectors whose neighbours one task looks for; ``sample``: vectors
-    of all kinds together, at most, that the cells are fitted on (the only use of
-    a sample: every vector gets a cell, a group and neighbours).
-    ``max_cells``: beyond it cells grow instead. Up to ``probes`` cells the result is exact.
+    ``groups``, ``group_rows``: one task looks for the neighbours of a group of cells, a
+    kind has ``groups`` of them at least (if it has as many cells) and more as soon as one would
+    hold over ``group_rows`` vectors; ``sample``: vectors of all kinds together,
+    at most, that the cells are fitted on (the only use of a sample: every vector
+    gets a cell, a group and neighbours). ``max_cells``: beyond it cells grow
+    instead. Up to ``probes`` cells the result is exact.
     """
 
-    cell_rows: int = 300
-    probes: int = 64
-    reach: int = 160
-    group_rows: int = 16_000
+    cell_rows: int = 1200
+    probes: int = 18
+    reach: int = 18
+    groups: int = 12
+    group_rows: int = 50_000
     sample: int = 100_000
     max_cells: int = 32_768
 
@@ -52,7 +54,7 @@ class Cells:
         n = int(min(max(1, -(-rows // layout.cell_rows)), layout.max_cells, len(sample)))
         self.centres = self._fitted(sample, n)
         weight = np.bincount(self.nearest(sample), minlength=n) + 0.01
-        groups = int(min(max(1, -(-rows // layout.group_rows)), n))
+        groups = int(min(max(layout.groups, -(-rows // layout.group_rows)), n))
         self.group = np.empty(n, np.int32)
         self._halve(np.arange(n), weight, groups, first_group)
         self.groups = range(first_group, first_group + groups)
@@ -220,24 +222,25 @@ def most_similar_vectors(vectors: DataFrame, k: int = 10, layout: Layout = Layou
     (up to ``max_cells``). Recall is measured against brute force in the tests.
     """
     spark = vectors.sparkSession
-    reps = written(
-        vectors.groupBy("kind", F.xxhash64("vector").alias("v1"), F.xxhash64(F.lit(1), "vector").alias("v2")).agg(F.first("vector").alias("vector")), "vectors"
-    )
-    sizes = {r.kind: (r.n, r.d) for r in reps.groupBy("kind").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).collect()}
-    total = sum(n for n, _ in sizes.values())
+    hashed = vectors.select("kind", F.xxhash64("vector").alias("v1"), F.xxhash64(F.lit(1), "vector").alias("v2"), "vector")
+    reps = hashed.groupBy("kind", "v1", "v2").agg(F.first("vector").alias("vector"))
+    sizes = {r.kind: r.n for r in vectors.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
     out_type = "kind string, v1 bigint, v2 bigint, near array<struct<v1:bigint,v2:bigint,sim:float>>"
     if not total:
         return spark.createDataFrame([], out_type)
-    # A bounded sample, by hash: of every kind in proportion, and all of a small kind.
+    # A bounded sample, by hash: of every kind in proportion, and all of a few small kinds.
     part = min(1.0, layout.sample / total)
-    small = [kind for kind, (n, _) in sizes.items() if n * part < 2000 and n < 20_000][:64]
+    small = [kind for kind, n in sizes.items() if n * part < 2000 and n < 20_000][:64]
     keep = (F.pmod("v1", F.lit(1_000_003)) < int(part * 1_000_003) + 1) | F.col("kind").isin(small)
-    sample = reps.where(keep).select("kind", "vector").toPandas()
+    sample = hashed.where(keep).groupBy("kind", "v1", "v2").agg(F.first("vector").alias("vector")).select("kind", "vector").toPandas()
     layouts: dict[str, Cells] = {}
     first = 0
     for kind in sorted(sizes):
         x = sample.vector[sample.kind == kind]
-        layouts[kind] = Cells(_unit(np.stack(x.to_numpy()).astype(np.float64)), sizes[kind][0], layout, first)
+        if not len(x):  # a kind too small for the sample to have met it
+            x = vectors.where(F.col("kind") == kind).select("vector").limit(1000).toPandas().vector
+        layouts[kind] = Cells(_unit(np.stack(x.to_numpy()).astype(np.float64)), sizes[kind], layout, first)
         first = layouts[kind].groups.stop
     shared = spark.sparkContext.broadcast(layouts)
 
