@@ -32,7 +32,7 @@ class Layout:
     reach: int = 18
     groups: int = 12
     group_rows: int = 50_000
-    sample: int = 100_000
+    sample: int = 60_000
     max_cells: int = 32_768
 
 
@@ -100,10 +100,11 @@ class Cells:
 
 
 def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (held as floats, in which their products are exact), each row's scale, and the length of what the code leaves out."""
-    scale = np.abs(x).max(1) / 127
-    code = np.rint(x / scale[:, None])
-    return code, scale, np.linalg.norm(x - code * scale[:, None], axis=1)
+    """Each row's int8 code and scale, and 16 bits for each number to tell it from its code, as exactly as a float would."""
+    scale = np.maximum(np.abs(x).max(1), 1e-30).astype(np.float32) / 127
+    exact = x / scale[:, None]
+    code = np.rint(exact)
+    return code.astype(np.int8), np.rint((exact - code) * 65534).astype(np.int16), scale.astype(np.float32)
 
 
 class _Heaps:
@@ -145,19 +146,23 @@ class _Heaps:
         self.who[row[kept], place[kept]] = who[kept]
 
 
-def _search(home: np.ndarray, home_cell: np.ndarray, x: np.ndarray, x_cell: np.ndarray, cells: Cells, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of ``x`` for each row of ``x[home]``, as row numbers of ``x`` (-1: none) and cosines.
+def _search(home: np.ndarray, code: np.ndarray, fine: np.ndarray, scale: np.ndarray, cell_of: np.ndarray, cells: Cells, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of all rows for each row of ``home``, as row numbers (-1: none) and cosines.
 
     Tile by tile: the rows that probe a cell, against the cell. The product of the
     int8 codes is the cosine but for what the codes leave out, of which the
     lengths are known; a pair survives if, with that in its favour, it could still
-    be among the row's best, and is then computed in float.
+    be among the row's best, and is then computed in float. (The codes are held
+    as floats, in which their products are exact and much faster.)
     """
+    code = code.astype(np.float32)
+    x = (code + fine * np.float32(1 / 65534)) * scale[:, None]
+    rest = np.linalg.norm(x - code * scale[:, None], axis=1)
     a = x[home]
-    code, scale, rest = _coded(a)
     heaps = _Heaps(len(home), k)
-    order = np.argsort(x_cell, kind="stable")
-    present, starts = np.unique(x_cell[order], return_index=True)
+    home_cell, home_code, home_scale, home_rest = cell_of[home], code[home], scale[home], rest[home]
+    order = np.argsort(cell_of, kind="stable")
+    present, starts = np.unique(cell_of[order], return_index=True)
     stops = np.append(starts[1:], len(order))
     # The probes of each row among the cells at hand; nearest first, so that bounds are tight early.
     p = min(cells.probes, len(present))
@@ -174,15 +179,14 @@ def _search(home: np.ndarray, home_cell: np.ndarray, x: np.ndarray, x_cell: np.n
         rows, cols = row_of[cuts[c] : cuts[c + 1]], order[starts[c] : stops[c]]
         if not len(rows):
             continue
-        b = x[cols]
-        b_code, b_scale, b_rest = _coded(b)
-        b_code *= (b_scale / b_scale.max())[:, None]  # one scale a tile
+        b_scale, b_rest = scale[cols], rest[cols]
+        b_code = code[cols] * (b_scale / b_scale.max())[:, None]  # one scale a tile
         for s in range(0, len(rows), 2048):
             for t in range(0, len(cols), 2048):
                 r = rows[s : s + 2048]
-                tile = code[r] @ b_code[t : t + 2048].T
-                unit = scale[r] * b_scale.max()
-                slack = rest[r] + (1 + rest[r]) * b_rest[t : t + 2048].max() + 1e-5
+                tile = home_code[r] @ b_code[t : t + 2048].T
+                unit = home_scale[r] * b_scale.max()
+                slack = home_rest[r] + (1 + home_rest[r]) * b_rest[t : t + 2048].max() + 1e-5
                 bar = (heaps.least[r] - slack) / unit
                 if k < tile.shape[1]:  # the tile's own k-th best is a bound too; found only for rows that need it
                     loose = np.flatnonzero((tile > bar[:, None]).sum(1) > 3 * k)
@@ -191,8 +195,8 @@ def _search(home: np.ndarray, home_cell: np.ndarray, x: np.ndarray, x_cell: np.n
                         bar[loose] = np.maximum(bar[loose], kth - 2 * (slack / unit)[loose])
                 i, j = np.nonzero(tile >= bar[:, None])
                 who = cols[t + j]
-                fine = who != home[r[i]]
-                i, who = r[i[fine]], who[fine]
+                other = who != home[r[i]]
+                i, who = r[i[other]], who[other]
                 heaps.push(i, who, np.einsum("ij,ij->i", a[i], x[who]))
                 if heaps.least[r].min() < -1:
                     heaps.merge()
@@ -253,12 +257,13 @@ def most_similar_vectors(vectors: DataFrame, k: int = 10, layout: Layout = Layou
                 x = _unit(np.stack(part.vector.to_numpy()).astype(np.float64))
                 ids = np.stack([part.v1.to_numpy(), part.v2.to_numpy()], 1)
                 cell = cells.nearest(x)
+                coded = _coded(x)
                 order = np.argsort(cell, kind="stable")
                 for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
                     c = int(cell[at[0]])
-                    packed = (ids[at].tobytes(), x[at].tobytes())
+                    packed = (ids[at].tobytes(), *(v[at].tobytes() for v in coded))
                     rows += [(int(g), kind, c, len(at), *packed) for g in cells.wanted[c]]
-            yield pd.DataFrame(rows, columns=["group", "kind", "cell", "n", "ids", "x"])
+            yield pd.DataFrame(rows, columns=["group", "kind", "cell", "n", "ids", "code", "fine", "scale"])
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
@@ -269,10 +274,11 @@ def most_similar_vectors(vectors: DataFrame, k: int = 10, layout: Layout = Layou
             cells = shared.value[kind]
             n = int(g.n.sum())
             ids = np.frombuffer(b"".join(g.ids), np.int64).reshape(n, 2)
-            x = np.frombuffer(b"".join(g.x), np.float32).reshape(n, -1)
+            code, fine = (np.frombuffer(b"".join(v), t).reshape(n, -1) for v, t in ((g.code, np.int8), (g.fine, np.int16)))
+            scale = np.frombuffer(b"".join(g.scale), np.float32)
             cell = np.repeat(g.cell.to_numpy(), g.n.to_numpy())
             home = np.flatnonzero(cells.group[cell] == group)
-            who, sim = _search(home, cell[home], x, cell, cells, k)
+            who, sim = _search(home, code, fine, scale, cell, cells, k)
             for s in range(0, len(home), 4000):
                 near = [
                     [{"v1": int(ids[w, 0]), "v2": int(ids[w, 1]), "sim": float(v)} for w, v in zip(ws, vs) if w >= 0]
@@ -281,7 +287,7 @@ def most_similar_vectors(vectors: DataFrame, k: int = 10, layout: Layout = Layou
                 own = ids[home[s : s + 4000]]
                 yield pd.DataFrame({"kind": kind, "v1": own[:, 0], "v2": own[:, 1], "near": near})
 
-    tiles = reps.mapInPandas(dealt, "group int, kind string, cell int, n int, ids binary, x binary")
+    tiles = reps.mapInPandas(dealt, "group int, kind string, cell int, n int, ids binary, code binary, fine binary, scale binary")
     return tiles.repartitionById(first, F.col("group")).mapInPandas(searched, out_type)
 
 
