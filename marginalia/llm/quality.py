@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.session import written
+
 KINDS = ["prose", "list", "table", "junk"]
 
 # Common words by language.
@@ -30,11 +34,23 @@ COMMON = {
 
 #: Lines of lists, of tables and of machine output. Fixed patterns of this operator.
 LIST_LINE = r"^\s*(?:[-*+•‣·–]\s+|\d{1,3}[.)]\s+|\d{1,3}(?:\.\d{1,3})+\.?\s+|\[[ xX✓]?\]\s+|[-*+]\s+\[|[a-zA-Z][.)]\s+|[ivx]{1,4}[.)]\s+)\S"
-TABLE_LINE = r"^\s*\|.*\|\s*$|^[^\t]*\S\t+\S|^(?:[^,\s]|\S[^,]*)(?:,(?:[^\s,][^,]*)?){2,}$|^[^;]*(?:;[^\s;][^;]*){2,}$|\S {3,}\S+.* {3,}\S|\S {4,}\S|^\s*\S+( +\| +\S+){2,}|^\s*[-+|=: ]{5,}$"
-MACHINE_LINE = (
-    r"^\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d|^\s*[\[{].*[\"'\]}:]\s*,?\s*$|^\s*<[^>]+>.*<?/?|^\s*[A-Za-z0-9+/=]{40,}\s*$|^\s*(?:0x)?[0-9a-fA-F]{24,}\s*$"
-    r"|^\s*at [\w.$]+\(|\b(?:trace|dur|pid|code)=|^\s*[\"'}\])]+[,;]?\s*$|^\s*\"[^\"]*\"\s*:\s"
-)
+# Each alternative stands beside a string without which it can't match, looked for first, as it is cheaper.
+TABLE_LINE = [
+    ("|", r"^\s*\|.*\|\s*$|^\s*\S+(?: +\| +\S+){2,}"),
+    ("\t", r"^[^\t]*\S\t+\S"),
+    (",", r"^(?:[^,\s]|\S[^,]*)(?:,(?:[^\s,][^,]*)?){2,}$"),
+    (";", r"^[^;]*(?:;[^\s;][^;]*){2,}$"),
+    ("   ", r"\S {4,}\S|\S {3,}\S+[^\n]* {3,}\S"),
+    ("---", r"^\s*[-+|=: ]{5,}$"),
+]
+MACHINE_LINE = [
+    ("", r"^\s*(?:\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d|[A-Za-z0-9+/=]{40,}\s*$|(?:0x)?[0-9a-fA-F]{24,}\s*$|[\"'}\])]+[,;]?\s*$|at [\w.$]+\()"),
+    ("=", r"\b(?:trace|dur|pid|code)="),
+    ("\"", r"^\s*(?:\"[^\"]*\"\s*:\s|[\[{].*[\"'\]}:]\s*,?\s*$)"),
+    ("'", r"^\s*[\[{].*[\"'\]}:]\s*,?\s*$"),
+    (":", r"^\s*[\[{].*[\]}:]\s*,?\s*$"),
+    ("<", r"^\s*<[^>]+>"),
+]
 MOJIBAKE = r"Ã.|â€.?|Â|ï¿½|�|[\x00-\x08\x0e-\x1f\x80-\x9f]"
 ENDS = r"[.!?…:。！？]['\"»”’)\]*_]*\s*$"
 
@@ -57,11 +73,14 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.filter(F.transform(F.split("t", "\n"), lambda l: F.regexp_replace(l, r"^(?:\s*>)+ ?", "")), lambda l: l.rlike(r"\S")).alias("ls"),
     )
 
+    def any_of(l: Column, patterns: list[tuple[str, str]]) -> Column:
+        return reduce(Column.__or__, [l.contains(m) & l.rlike(p) if m else l.rlike(p) for m, p in patterns])
+
     def line(l: Column) -> Column:
         n = F.size(F.split(F.trim(l), r"\s+"))
-        machine = l.rlike(MACHINE_LINE)
+        machine = any_of(l, MACHINE_LINE)
         odd = F.length(F.regexp_replace(l, r"[\p{L}\p{N}\p{M}\s|,.;:\"'()\-]+", "")) * 4 >= F.length(l)
-        table = ~machine & ~odd & l.rlike(TABLE_LINE) & ~l.rlike(r"^\s*\S+(?: +\S+){9,}[.!?]\s*$")
+        table = ~machine & ~odd & any_of(l, TABLE_LINE) & ~l.rlike(r"^\s*\S+(?: +\S+){9,}[.!?]\s*$")
         listed = ~machine & ~table & l.rlike(LIST_LINE) & (n <= 14)
         kind = F.when(machine, "m").when(table, "t").when(listed, "l").when(n <= 3, "s").otherwise("p")
         return F.struct(F.length(l).alias("c"), n.alias("n"), kind.alias("k"), l.rlike(ENDS).alias("e"))
@@ -184,7 +203,7 @@ def text_types(stats: DataFrame) -> DataFrame:
     fs = labelling_functions()
     spark = stats.sparkSession
     pattern = sum((F.when(F.coalesce(c, F.lit(False)), 1 << i).otherwise(0) for i, (_, c) in enumerate(fs.values())), F.lit(0))
-    voted = stats.withColumn("_votes", pattern.cast("int"))
+    voted = written(stats.withColumn("_votes", pattern.cast("int")), "votes")  # the statistics are computed once
     seen = voted.groupBy("_votes").agg(F.count("*").alias("n")).toPandas().sort_values("_votes")
     bits = (seen["_votes"].to_numpy()[:, None] >> np.arange(len(fs))[None] & 1).astype(float)
     model = VoteModel(KINDS, [KINDS.index(k) for k, _ in fs.values()]).fit(bits, seen["n"].to_numpy(dtype=float))
