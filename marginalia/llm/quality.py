@@ -29,7 +29,8 @@ COMMON = {
     "aunque todavía porque caso ese esa otra",
     "id": "yang dan di ke dari untuk dengan tidak ini itu pada akan ada kami kita mereka adalah sudah belum karena jika atau "
     "saja juga oleh agar sebelum setelah sampai hampir semua dua sebagai dalam harus boleh bisa tanpa lagi hanya tetapi "
-    "apa pun kalau ketika mengapa bukan sama baru dulu meski minggu",
+    "apa pun kalau ketika mengapa bukan sama baru dulu meski minggu bahwa setiap masih meskipun telah serta bagi atas para lama dapat "
+    "maka sedang sampai setelah sebelum tolong hingga seperti antara namun",
 }
 
 #: Lines of lists, of tables and of machine output. Fixed patterns of this operator.
@@ -143,7 +144,7 @@ def labelling_functions() -> dict[str, tuple[str, Column]]:
     return {
         "common words": ("prose", told & ~filler),
         "prose lines": ("prose", (c("chars_prose") >= 0.5) & told & ~filler),
-        "sentences": ("prose", (c("sentences") >= 0.02) & (c("common_words") >= 0.12) & (c("chars_table") < 0.5) & (c("chars_list") < 0.5)),
+        "sentences": ("prose", (c("sentences") >= 0.02) & (c("common_words") >= 0.1) & (c("chars_table") < 0.5) & (c("chars_list") < 0.5)),
         "long lines": ("prose", (c("words_a_line") >= 9) & told & (c("chars_machine") < 0.5)),
         "list text": ("list", (c("chars_list") >= 0.5) & ~filler),
         "list lines": ("list", (c("lines") >= 3) & (c("lines_list") >= 0.6) & ~filler),
