@@ -21,11 +21,12 @@ def related(nodes: DataFrame, edges: DataFrame, q: str, seeds: int = 12, near: i
     Columns ``edge_id, src, type, dst, confidence, distance, score``. Each step
     is cut to its best by confidence, then id: the seeds, the near and the far edges, the result.
     """
-    hit = nodes.where(F.lower("name").contains(q.lower())).orderBy(F.desc("confidence"), "node").limit(seeds).select("node")
     top = lambda e, n: e.orderBy(F.desc("confidence"), "edge_id").limit(n)
-    first = top(touching(edges, hit), near)
-    front = first.select(F.col("src").alias("node")).union(first.select("dst")).distinct()
-    second = top(touching(edges, front), far)
+    # The seeds and the front are bounded by the cuts, so their ids become filters: one scan of the edges a step, no join.
+    hit = [r.node for r in nodes.where(F.lower("name").contains(q.lower())).orderBy(F.desc("confidence"), "node").limit(seeds).select("node").collect()]
+    first = top(edges.where(F.col("src").isin(hit) | F.col("dst").isin(hit)), near)
+    front = sorted({n for r in first.select("src", "dst").collect() for n in r})
+    second = top(edges.where(F.col("src").isin(front) | F.col("dst").isin(front)), far)
     both = first.withColumns({"distance": F.lit(1), "score": F.lit(1.0)}).unionByName(second.withColumns({"distance": F.lit(2), "score": F.lit(0.65)}))
     best = both.groupBy("edge_id", "src", "type", "dst", "confidence").agg(F.min("distance").alias("distance"), F.max("score").alias("score"))
     return best.orderBy("distance", F.desc(F.col("confidence") * F.col("score")), "edge_id").limit(limit)

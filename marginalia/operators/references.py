@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.keys import plain_key
-from marginalia.operators.skew import salted_left_join
+from marginalia.operators.skew import hot_keys, salted_left_join
 from marginalia.session import written
 from marginalia.sources.tables import micros
 
@@ -89,7 +89,8 @@ def orphan_references(tables: dict[str, DataFrame], graph: list[ForeignKey], spe
     direct, edges = [], []
     for fk in graph:
         refs = _references(tables[fk.child], specs[fk.child], fk)
-        met = salted_left_join(refs, _parents(tables[fk.parent], specs[fk.parent]), "ref", F.col("row_id"))
+        hot = hot_keys(refs, "ref")
+        met = salted_left_join(refs, _parents(tables[fk.parent], specs[fk.parent]), "ref", F.col("row_id"), hot=hot)
         reason = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("since") > F.col("made_us"), "late")
         named = met.select(
             F.lit(fk.child).alias("table_name"),
@@ -100,18 +101,18 @@ def orphan_references(tables: dict[str, DataFrame], graph: list[ForeignKey], spe
             reason.alias("reason"),
         )
         direct.append(named.where("reason is not null").withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}))
-        edges.append((fk, refs))
+        edges.append((fk, refs, hot))
     known = found = written(reduce(DataFrame.unionByName, direct), "orphans")
     depth = 0
     while True:
         depth += 1
         grown = []
-        for fk, refs in edges:
-            if not any(e.child == fk.parent for e, _ in edges):
+        for fk, refs, hot in edges:
+            if not any(e.child == fk.parent for e, *_ in edges):
                 continue  # no row of the parent can be an orphan
             lost = found.where(F.col("table_name") == fk.parent).select(plain_key(F.col("row_id")).alias("ref")).distinct()
             held = known.where((F.col("table_name") == fk.child) & (F.col("field_name") == fk.field)).select("row_id")
-            new = salted_left_join(refs, lost, "ref", F.col("row_id"), how="left_semi").join(held, "row_id", "left_anti")
+            new = salted_left_join(refs, lost, "ref", F.col("row_id"), how="left_semi", hot=hot).join(held, "row_id", "left_anti")
             grown.append(
                 new.select(
                     F.lit(fk.child).alias("table_name"), F.lit(fk.field).alias("field_name"), "row_id", "ref",
