@@ -10,6 +10,7 @@ from marginalia.llm.mixing import membership, mixed, reached_shares
 from marginalia.llm.neighbours import similar_ids, similar_pairs, usable
 from marginalia.llm.quality import COMMON, text_statistics, text_types
 from marginalia.llm.splitting import split_items
+from marginalia.operators.skew import spread
 from marginalia.plans import Registry
 from marginalia.sources.tables import table
 
@@ -18,7 +19,7 @@ add = registry.add
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "source_documents").select(F.lit("document").alias("item_kind"), F.col("document_id").alias("item_id"), "content")
+    docs = spread(table(spark, sf, "source_documents").select("document_id", "content")).select(F.lit("document").alias("item_kind"), F.col("document_id").alias("item_id"), "content")
     return docs.unionByName(table(spark, sf, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "content"))
 
 
@@ -89,7 +90,7 @@ _LEAK = r"""
 
 
 def _leaks(f, spark: SparkSession, sf: str) -> DataFrame:
-    return f(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return f(spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "eval_items"))
 
 
 @add("p7_found", _LEAK + "SELECT DISTINCT doc_id, item_id FROM texts JOIN grams USING (g)")
@@ -111,19 +112,19 @@ def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 @add("p8_shares")
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    members, goal = membership(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    members, goal = membership(spread(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
     return reached_shares(mixed(members, goal), goal)
 
 
 @add("p8_mix")
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
-    members, goal = membership(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    members, goal = membership(spread(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
     return mixed(members, goal).drop("posterior")
 
 
 @add("p9_found")
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    t = text_types(text_statistics(table(spark, sf, "documents").where("doc_id is not null")))
+    t = text_types(text_statistics(spread(table(spark, sf, "documents").where("doc_id is not null").select("doc_id", "text"))))
     return t.where("kind <> 'prose'").select("doc_id", "kind").dropDuplicates(["doc_id"])
 
 
