@@ -18,18 +18,20 @@ class Layout:
     """How vectors are laid out in blocks.
 
     ``cell_rows``: vectors a cell holds on average; ``probes``: cells that each
-    vector meets; ``reach``: nearest cells of a cell from which those are taken;
-    ``groups``, ``group_rows``: one task looks for the neighbours of a group of cells, a
-    kind has ``groups`` of them at least (if it has as many cells) and more as soon as one would
-    hold over ``group_rows`` vectors; ``sample``: vectors of all kinds together,
-    at most, that the cells are fitted on (the only use of a sample: every vector
-    gets a cell, a group and neighbours). ``max_cells``: beyond it cells grow
-    instead. Up to ``probes`` cells the result is exact.
+    vector meets where there are up to ``few_cells`` of them; of more cells each
+    meets more, by a power of ``growth``, as recall falls with the number of
+    cells otherwise; ``groups``, ``group_rows``: one task looks for the neighbours of a
+    group of cells, a kind has ``groups`` of them at least (if it has as many
+    cells) and more as soon as one would hold over ``group_rows`` vectors;
+    ``sample``: vectors of all kinds together, at most, that the cells are fitted
+    on (the only use of a sample: every vector gets a cell, a group and
+    neighbours). ``max_cells``: beyond it cells grow instead. Up to ``probes`` cells the result is exact.
     """
 
     cell_rows: int = 1200
     probes: int = 18
-    reach: int = 18
+    few_cells: int = 256
+    growth: float = 0.75
     groups: int = 12
     group_rows: int = 50_000
     sample: int = 60_000
@@ -58,8 +60,7 @@ class Cells:
         self.group = np.empty(n, np.int32)
         self._halve(np.arange(n), weight, groups, first_group)
         self.groups = range(first_group, first_group + groups)
-        self.probes = min(layout.probes, n)
-        reach = min(layout.reach, n)
+        reach = self.probes = min(int(np.ceil(layout.probes * max(1, n / layout.few_cells) ** layout.growth)), n)
         self.wanted: list[np.ndarray] = [np.empty(0, np.int32)] * n  # of each cell, the groups that look into it
         pairs = set()
         for a in range(0, n, 4096):
@@ -155,12 +156,16 @@ def _search(home: np.ndarray, code: np.ndarray, fine: np.ndarray, scale: np.ndar
     be among the row's best, and is then computed in float. (The codes are held
     as floats, in which their products are exact and much faster.)
     """
-    code = code.astype(np.float32)
-    x = (code + fine * np.float32(1 / 65534)) * scale[:, None]
-    rest = np.linalg.norm(x - code * scale[:, None], axis=1)
-    a = x[home]
+
+    def real(rows: np.ndarray) -> np.ndarray:
+        return (code[rows] + fine[rows] * np.float32(1 / 65534)) * scale[rows, None]
+
+    def left_out(rows: np.ndarray) -> np.ndarray:
+        return np.linalg.norm(fine[rows] * np.float32(1 / 65534), axis=1) * scale[rows]
+
+    a = real(home)
     heaps = _Heaps(len(home), k)
-    home_cell, home_code, home_scale, home_rest = cell_of[home], code[home], scale[home], rest[home]
+    home_cell, home_code, home_scale, home_rest = cell_of[home], code[home].astype(np.float32), scale[home], left_out(home)
     order = np.argsort(cell_of, kind="stable")
     present, starts = np.unique(cell_of[order], return_index=True)
     stops = np.append(starts[1:], len(order))
@@ -179,7 +184,8 @@ def _search(home: np.ndarray, code: np.ndarray, fine: np.ndarray, scale: np.ndar
         rows, cols = row_of[cuts[c] : cuts[c + 1]], order[starts[c] : stops[c]]
         if not len(rows):
             continue
-        b_scale, b_rest = scale[cols], rest[cols]
+        b_scale, b_rest = scale[cols], left_out(cols)
+        b = real(cols)
         b_code = code[cols] * (b_scale / b_scale.max())[:, None]  # one scale a tile
         for s in range(0, len(rows), 2048):
             for t in range(0, len(cols), 2048):
@@ -194,10 +200,10 @@ def _search(home: np.ndarray, code: np.ndarray, fine: np.ndarray, scale: np.ndar
                         kth = -np.partition(-tile[loose], k, axis=1)[:, k]  # k + 1 of them, as a row may meet itself
                         bar[loose] = np.maximum(bar[loose], kth - 2 * (slack / unit)[loose])
                 i, j = np.nonzero(tile >= bar[:, None])
-                who = cols[t + j]
-                other = who != home[r[i]]
-                i, who = r[i[other]], who[other]
-                heaps.push(i, who, np.einsum("ij,ij->i", a[i], x[who]))
+                j += t
+                other = cols[j] != home[r[i]]
+                i, j = r[i[other]], j[other]
+                heaps.push(i, cols[j], np.einsum("ij,ij->i", a[i], b[j]))
                 if heaps.least[r].min() < -1:
                     heaps.merge()
     heaps.merge()
@@ -222,8 +228,7 @@ def most_similar_vectors(vectors: DataFrame, k: int = 10, layout: Layout = Layou
     so that many of them cost no more than one. The vectors of a kind are laid
     out in cells about centres fitted on a bounded sample; neighbouring cells form groups
     of bounded size; a task gets a group and the cells that it reaches. Work
-    per vector: ``probes * cell_rows`` products, however many vectors there are
-    (up to ``max_cells``). Recall is measured against brute force in the tests.
+    per vector: ``probes * cell_rows`` products. Recall is measured against brute force in the tests.
     """
     spark = vectors.sparkSession
     hashed = vectors.select("kind", F.xxhash64("vector").alias("v1"), F.xxhash64(F.lit(1), "vector").alias("v2"), "vector")
@@ -266,17 +271,18 @@ def most_similar_vectors(vectors: DataFrame, k: int = 10, layout: Layout = Layou
             yield pd.DataFrame(rows, columns=["group", "kind", "cell", "n", "ids", "code", "fine", "scale"])
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        b = pd.concat(parts, ignore_index=True)
-        for (group, kind), g in b.groupby(["group", "kind"], sort=False):
+        held: dict[tuple[int, str], list[tuple]] = {}
+        for b in batches:
+            for group, kind, *block in zip(b.group, b.kind, b.cell, b.n, b.ids, b.code, b.fine, b.scale):
+                held.setdefault((group, kind), []).append(tuple(block))
+        for group, kind in list(held):
             cells = shared.value[kind]
-            n = int(g.n.sum())
-            ids = np.frombuffer(b"".join(g.ids), np.int64).reshape(n, 2)
-            code, fine = (np.frombuffer(b"".join(v), t).reshape(n, -1) for v, t in ((g.code, np.int8), (g.fine, np.int16)))
-            scale = np.frombuffer(b"".join(g.scale), np.float32)
-            cell = np.repeat(g.cell.to_numpy(), g.n.to_numpy())
+            cell, n, ids, code, fine, scale = zip(*held.pop((group, kind)))
+            cell, n = np.repeat(cell, n), sum(n)
+            ids = np.frombuffer(b"".join(ids), np.int64).reshape(n, 2)
+            code = np.frombuffer(b"".join(code), np.int8).reshape(n, -1)
+            fine = np.frombuffer(b"".join(fine), np.int16).reshape(n, -1)
+            scale = np.frombuffer(b"".join(scale), np.float32)
             home = np.flatnonzero(cells.group[cell] == group)
             who, sim = _search(home, code, fine, scale, cell, cells, k)
             for s in range(0, len(home), 4000):

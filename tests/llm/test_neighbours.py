@@ -38,7 +38,7 @@ def test_exact_while_all_cells_are_probed(spark):
 def test_recall_with_few_probes(spark):
     x = clustered(6000, seed=1)
     want, _ = truth(x, 10)
-    layout = Layout(cell_rows=60, probes=25, reach=25, groups=5, group_rows=900, sample=1500)
+    layout = Layout(cell_rows=60, probes=25, few_cells=100, groups=5, group_rows=900, sample=1500)
     got = similar_ids(vectors(spark, x), 10, layout=layout).groupBy("id").agg(F.collect_list("other").alias("n")).collect()
     hit = sum(len({int(o[1:]) for o in r.n} & set(want[int(r.id[1:])].tolist())) for r in got)
     assert len(got) == 6000 and hit / 60_000 >= 0.9
