@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,3 +78,21 @@ def drop_written() -> None:
 
 
 atexit.register(drop_written)
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless PYTHONPATH already leads them to it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped or root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-marginalia-"), "marginalia.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, files in os.walk(os.path.join(root, "marginalia")):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(d, f), os.path.relpath(os.path.join(d, f), root))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
