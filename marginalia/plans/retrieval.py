@@ -364,3 +364,136 @@ def a16(spark, sf):
       SELECT doc_id, unnest(regexp_extract_all(replace(text, chr(13), chr(10)), '(?mi)^[ \t]*(?:user|human|customer|assistant|agent|ai|bot|system|tool)[ \t]*:')) AS m FROM documents)) GROUP BY role""")
 def a25(spark, sf):
     return turns(table(spark, sf, "documents"), "doc_id", "text").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("doc_id").alias("documents"))
+
+
+# ---- anchors, citations, summaries
+
+
+@add("h18_anchors", rf"""SELECT claim_id, evidence_id, round(s, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY s DESC, evidence_id) AS nth FROM (
+        SELECT claim_id, evidence_id, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(q, x))) / len(w)::DOUBLE ELSE 0 END AS s FROM (
+          SELECT c.claim_id, e.evidence_id, regexp_extract_all(lower(c.claim_text), '[\p{{L}}\p{{N}}]+') AS w, regexp_extract_all(lower(e.quote), '[\p{{L}}\p{{N}}]+') AS q
+          FROM (SELECT DISTINCT ON (evidence_id) evidence_id, claim_id, quote FROM evidence WHERE quote IS NOT NULL) e JOIN {CLAIMS_SQL} c ON c.claim_id = e.claim_id))
+      WHERE s >= 0.65) WHERE nth = 1""")
+def h18(spark, sf):
+    """The quote that holds most of its claim, if that is 0.65 or more. One aggregation; claims with many quotes are salted before."""
+    from marginalia.operators.skew import salted_left_join
+
+    e = table(spark, sf, "evidence").where("quote is not null").select("evidence_id", "claim_id", "quote").dropDuplicates(["evidence_id"])
+    j = salted_left_join(e, claims(spark, sf).select("claim_id", "claim_text"), "claim_id", F.col("evidence_id"), how="inner")
+    s = j.select("claim_id", "evidence_id", X.quote_score(F.col("claim_text"), F.col("quote")).alias("s")).where("s >= 0.65")
+    best = s.groupBy("claim_id").agg(F.min(F.struct((-F.col("s")).alias("far"), "evidence_id")).alias("b"))
+    return best.select("claim_id", "b.evidence_id", F.round(-F.col("b.far"), 6).alias("score"))
+
+
+_RECALLED = f"""(SELECT *, row_number() OVER (ORDER BY {_FRESH_RANK}, rank_score DESC, updated_at DESC, claim_id) AS place FROM (
+    SELECT *, text_score + confidence + {_BOOST} AS rank_score, {_FRESH} AS freshness FROM (SELECT *, {_score_sql('claim_text', QUERY)} AS text_score FROM {_ELIGIBLE}) WHERE text_score > 0)
+    ORDER BY {_FRESH_RANK}, rank_score DESC, updated_at DESC, claim_id LIMIT 20)"""
+
+
+def _recalled(spark, sf) -> DataFrame:
+    """The 20 best claims with their addresses."""
+    r = R.recall_text(claims(spark, sf), _sources(spark, sf), QUERY, SCOPE, at(), 20)
+    return claims(spark, sf).select("claim_id", "source_url", "updated_at").join(F.broadcast(r), "claim_id")  # 20 rows
+
+
+@add("d17_quality", f"""SELECT count(*) AS hits, round(max(rank_score), 6) AS top, round(avg(rank_score), 6) AS mean, count(DISTINCT source_url) AS addresses,
+    round((SELECT max(n) FROM (SELECT count(*) AS n FROM {_RECALLED} WHERE source_url IS NOT NULL GROUP BY source_url)) / count(*)::DOUBLE, 6) AS dominant,
+    count(*) FILTER (WHERE source_url IS NULL) AS unsourced FROM {_RECALLED}""")
+def d17(spark, sf):
+    """How good a recall's result is: its scores, and how many addresses it rests on."""
+    r = _recalled(spark, sf)
+    by = r.groupBy("source_url").agg(F.count("*").alias("n"), F.sum("rank_score").alias("s"), F.max("rank_score").alias("m"))
+    some = F.col("source_url").isNotNull()
+    return by.agg(
+        F.sum("n").alias("hits"), F.round(F.max("m"), 6).alias("top"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean"), F.count("source_url").alias("addresses"),
+        F.round(F.max(F.when(some, F.col("n"))) / F.sum("n"), 6).alias("dominant"), F.coalesce(F.sum(F.when(~some, F.col("n"))), F.lit(0)).alias("unsourced"),
+    )
+
+
+@add("d19_citations", f"""SELECT 'C' || row_number() OVER (ORDER BY first) AS citation, source_url, claims FROM (
+    SELECT source_url, min(place) AS first, count(*) AS claims FROM {_RECALLED} WHERE source_url IS NOT NULL GROUP BY 1)""")
+def d19(spark, sf):
+    """The addresses of a recall's result, numbered as they are first met."""
+    from pyspark.sql import Window
+
+    order = [R.freshness_rank(F.col("freshness")), F.desc("rank_score"), F.desc("updated_at"), "claim_id"]
+    r = _recalled(spark, sf).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # 20 rows at most
+    c = r.where("source_url is not null").groupBy("source_url").agg(F.min("place").alias("first"), F.count("*").alias("claims"))
+    n = F.row_number().over(Window.orderBy("first"))
+    return c.select(F.concat(F.lit("C"), n.cast("string")).alias("citation"), "source_url", "claims")
+
+
+# What the last part of a name tells of its kind.
+NAME_KINDS = {"service": ["service", "gateway", "worker", "console", "runner"], "system": ["store", "cache", "index", "sink", "planner"], "team": ["team"]}
+_NAMES = r"(?:team-[a-z]+|[a-z]+-(?:" + "|".join(NAME_KINDS["service"] + NAME_KINDS["system"]) + "))"
+_KIND_SQL = "CASE WHEN name LIKE 'team-%' THEN 'team' " + " ".join(f"WHEN split_part(name, '-', 2) IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in NAME_KINDS.items() if k != "team") + " END"
+
+
+@add("i11_entities", f"""SELECT name, {_KIND_SQL} AS kind, count(*) AS mentions, count(DISTINCT document_id) AS documents, round(0.5 + 0.05 * least(count(*), 5), 6) AS confidence
+    FROM (SELECT document_id, unnest(regexp_extract_all(content, '{_NAMES}')) AS name FROM {DOCS_SQL}) GROUP BY name""")
+def i11(spark, sf):
+    """Names of services, systems and teams in documents, counted by document first."""
+    n = documents(spark, sf, "content").select("document_id", F.explode(F.regexp_extract_all("content", F.lit(_NAMES), F.lit(0))).alias("name"))
+    by = n.groupBy("name", "document_id").agg(F.count("*").alias("n")).groupBy("name").agg(F.sum("n").alias("mentions"), F.count("*").alias("documents"))
+    end = F.split_part("name", F.lit("-"), F.lit(2))
+    kind = F.when(F.col("name").startswith("team-"), "team")
+    for k in ("service", "system"):
+        kind = kind.when(end.isin(NAME_KINDS[k]), k)
+    return by.select("name", kind.alias("kind"), "mentions", "documents", F.round(0.5 + 0.05 * F.least("mentions", F.lit(5)), 6).alias("confidence"))
+
+
+@add("l22_summaries", f"""WITH t AS (SELECT source_config_id, string_agg(title, ', ' ORDER BY title) AS titles FROM (
+      SELECT source_config_id, title, row_number() OVER (PARTITION BY source_config_id ORDER BY title) AS nth FROM (
+        SELECT DISTINCT source_config_id, title FROM {DOCS_SQL} WHERE status <> 'deleted' AND title IS NOT NULL)) WHERE nth <= 5 GROUP BY 1),
+    d AS (SELECT source_config_id, count(*) AS n FROM {DOCS_SQL} WHERE status <> 'deleted' AND source_config_id IS NOT NULL GROUP BY 1),
+    c AS (SELECT source_config_id, count(*) AS n FROM {CLAIMS_SQL} GROUP BY 1)
+    SELECT d.source_config_id, 'source ' || d.source_config_id || ': ' || d.n || ' documents, ' || coalesce(c.n, 0) || ' claims; ' || coalesce(t.titles, '') AS summary
+    FROM d LEFT JOIN c ON c.source_config_id = d.source_config_id LEFT JOIN t ON t.source_config_id = d.source_config_id""")
+def l22(spark, sf):
+    """One line on each source: what it holds, and its first five titles."""
+    from pyspark.sql import Window
+
+    d = documents(spark, sf, "source_config_id", "title", "status").where("status <> 'deleted' and source_config_id is not null")
+    w = Window.partitionBy("source_config_id").orderBy("title")
+    t = d.where("title is not null").select("source_config_id", "title").distinct().withColumn("nth", F.row_number().over(w)).where("nth <= 5")
+    t = t.groupBy("source_config_id").agg(F.array_join(F.array_sort(F.collect_list("title")), ", ").alias("titles"))
+    c = claims(spark, sf).groupBy("source_config_id").agg(F.count("*").alias("claims"))
+    s = d.groupBy("source_config_id").agg(F.count("*").alias("documents")).join(c, "source_config_id", "left").join(t, "source_config_id", "left")
+    line = F.format_string("source %s: %d documents, %d claims; %s", "source_config_id", "documents", F.coalesce("claims", F.lit(0)), F.coalesce("titles", F.lit("")))
+    return s.select("source_config_id", line.alias("summary"))
+
+
+@add("b18_filtered", f"""SELECT scope, conflict_type, count(DISTINCT conflict_id) AS conflicts FROM conflicts WHERE severity IN ('blocking', 'high', 'medium') AND status <> 'resolved'
+    AND created_at <= TIMESTAMP '{AS_OF}' GROUP BY ALL""")
+def b18(spark, sf):
+    """Conflicts under conditions put together from what is asked for."""
+    asked = {"severity": ["blocking", "high", "medium"], "not_status": ["resolved"], "until": at()}
+    conds = [F.col("severity").isin(asked["severity"]), ~F.col("status").isin(asked["not_status"]), F.col("created_at") <= asked["until"]]
+    c = once(spark, sf, "conflicts", "conflict_id", "scope", "conflict_type", "severity", "status", "created_at").where(reduce(lambda a, b: a & b, conds))
+    return c.groupBy("scope", "conflict_type").agg(F.count("*").alias("conflicts"))
+
+
+@add("c10_cited_from_deleted", f"""SELECT e.claim_id, count(DISTINCT e.document_id) AS documents FROM evidence e JOIN {DOCS_SQL} d ON d.document_id = e.document_id
+    WHERE d.status = 'deleted' AND e.claim_id IS NOT NULL GROUP BY 1""")
+def c10(spark, sf):
+    """Claims that rest on deleted documents: a semi-join with the few that are."""
+    gone = documents(spark, sf, "status").where("status = 'deleted'").select("document_id")
+    e = table(spark, sf, "evidence").where("claim_id is not null").select("claim_id", "document_id").distinct()
+    return e.join(gone, "document_id", "left_semi").groupBy("claim_id").agg(F.count("*").alias("documents"))
+
+
+@add("d11_weak_claims", f"""SELECT c.scope, count(*) AS claims FROM {CLAIMS_SQL} c WHERE status IN ('verified', 'inferred') AND NOT EXISTS (
+    SELECT 1 FROM evidence e WHERE e.claim_id = c.claim_id AND e.source_url = c.source_url AND e.quote IS NOT NULL) GROUP BY ALL""")
+def d11(spark, sf):
+    """Trusted claims without a quote from their own address, by scope."""
+    q = table(spark, sf, "evidence").where("quote is not null").select("claim_id", "source_url").distinct()
+    c = claims(spark, sf).where(R.active_status(F.col("status"))).select("claim_id", "scope", "source_url")
+    return c.join(q, ["claim_id", "source_url"], "left_anti").groupBy("scope").agg(F.count("*").alias("claims"))
+
+
+@add("i25_stable_ids", f"""SELECT document_id, 'ent_' || substr(sha256(coalesce(scope, '') || chr(0) || lower(coalesce(title, ''))), 1, 24) AS stable_id FROM {DOCS_SQL}""")
+def i25(spark, sf):
+    d = documents(spark, sf, "scope", "title")
+    key = F.concat_ws("\0", F.coalesce("scope", F.lit("")), F.lower(F.coalesce("title", F.lit(""))))
+    return d.select("document_id", F.concat(F.lit("ent_"), F.substring(F.sha2(key, 256), 1, 24)).alias("stable_id"))
