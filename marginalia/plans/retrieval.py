@@ -430,7 +430,7 @@ _NAMES = r"(?:team-[a-z]+|[a-z]+-(?:" + "|".join(NAME_KINDS["service"] + NAME_KI
 _KIND_SQL = "CASE WHEN name LIKE 'team-%' THEN 'team' " + " ".join(f"WHEN split_part(name, '-', 2) IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in NAME_KINDS.items() if k != "team") + " END"
 
 
-@add("i11_entities", f"""SELECT name, {_KIND_SQL} AS kind, count(*) AS mentions, count(DISTINCT document_id) AS documents, round(0.5 + 0.05 * least(count(*), 5), 6) AS confidence
+@add("i11_entities", f"""SELECT name, {_KIND_SQL} AS kind, count(*) AS mentions, count(DISTINCT document_id) AS documents, round(0.5::DOUBLE + 0.05::DOUBLE * least(count(*), 5), 6) AS confidence
     FROM (SELECT document_id, unnest(regexp_extract_all(content, '{_NAMES}')) AS name FROM {DOCS_SQL}) GROUP BY name""")
 def i11(spark, sf):
     """Names of services, systems and teams in documents, counted by document first."""
