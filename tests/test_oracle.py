@@ -6,9 +6,9 @@ import re
 import oracle
 import pytest
 
-from marginalia.plans import numbered, retrieval, store
+from marginalia.plans import numbered, retrieval, rollups, store
 
-REGISTRIES = [numbered.registry, store.registry, retrieval.registry]
+REGISTRIES = [numbered.registry, store.registry, retrieval.registry, rollups.registry]
 NAMES = [n for r in REGISTRIES for n in r.queries]
 
 
