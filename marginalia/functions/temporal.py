@@ -53,3 +53,10 @@ def schedule_seconds(cron: Column) -> Column:
     unit = F.regexp_extract(cron, r"^@every\s+([1-9][0-9]*)([smhd])$", 2)
     by = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400)
     return F.when(cron == "@hourly", 3600).when(cron == "@daily", 86400).otherwise(n * by)
+
+
+def instant(text: Column) -> Column:
+    """The instant that a text names in UTC: RFC 3339 with seconds and ``Z``, or a date; null if it is neither."""
+    t = F.trim(text)
+    whole = F.when(t.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?Z$"), F.regexp_replace(F.regexp_replace(t, "T", " "), "Z$", ""))
+    return F.coalesce(whole, F.when(t.rlike(r"^\d{4}-\d\d-\d\d$"), t)).try_cast("timestamp_ntz")

@@ -88,6 +88,22 @@ def recall_chunks(chunks: DataFrame, documents: DataFrame, q: str, limit: int =
     return d.orderBy(F.desc("text_score"), F.desc("ingested_at"), "chunk_index", "chunk_id").limit(limit).select("chunk_id", "document_id", "title", "text_score")
 
 
+def recall_chunks_hybrid(chunks: DataFrame, documents: DataFrame, q: str, vector: list[float], limit: int = 5) -> DataFrame:
+    """Chunks of live documents, the best by text and the best by vector together: ``chunk_id, document_id, text_score, vector_score, rank_score``.
+
+    Both branches are cut to their pools before they meet the documents' order; a
+    chunk without a usable vector has the vector score 0.
+    """
+    c = chunks.withColumns({"text_score": text_score(F.col("content"), q), "vector_score": F.coalesce(cosine_to(F.col("embedding"), vector), F.lit(0.0))})
+    c = c.where("text_score > 0 or vector_score > 0").select("chunk_id", "document_id", "chunk_index", "text_score", "vector_score")
+    c = c.join(documents.where("status <> 'deleted'").select("document_id", "ingested_at"), "document_id")
+    best = lambda s: c.where(F.col(s) > 0).orderBy(F.desc(s), "chunk_id").limit(pool(limit))
+    both = best("text_score").union(best("vector_score")).dropDuplicates(["chunk_id"])
+    both = both.withColumn("rank_score", F.col("text_score") + 0.45 * F.col("vector_score"))
+    top = both.orderBy(F.desc("rank_score"), F.desc("ingested_at"), "chunk_index", "chunk_id").limit(limit)
+    return top.select("chunk_id", "document_id", "text_score", "vector_score", "rank_score")
+
+
 def best_of(results: DataFrame, key: str, query: str = "query_id") -> DataFrame:
     """Of one row in several queries' results, the fresher, then the higher ranked."""
     w = Window.partitionBy(key).orderBy(freshness_rank(F.col("freshness")), F.desc("rank_score"), query)

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.functions.temporal import policy_seconds, schedule_seconds
+from marginalia.functions.chunks import chunked
+from marginalia.functions.temporal import instant, policy_seconds, schedule_seconds
 from marginalia.operators import recall as R
 from marginalia.operators.loads import most_open
-from marginalia.operators.skew import salted_left_join
+from marginalia.operators.skew import salted_left_join, spread
 from marginalia.plans import Registry
-from marginalia.plans.retrieval import QUERY, SCOPE, _BOOST, _score_sql
+from marginalia.plans.retrieval import QUERY, SCOPE, _BOOST, _score_sql, i12
+from marginalia.plans.retrieval import registry as retrieval
 from marginalia.plans.store import AS_OF, AS_OF_EVENTS, CLAIMS_SQL, DOCS_SQL, JOBS_SQL, _AGE, _CRON, _READ, _once, at, claims, documents, jobs, once
 from marginalia.sources.tables import micros, table
 
@@ -390,3 +392,137 @@ def k04(spark, sf):
     again = (F.col("status") == "failed") & (F.col("attempts") < F.col("max_attempts"))
     wait = F.least(F.lit(900), 30 * F.pow(F.lit(2), F.col("attempts") - 1)).cast("bigint")
     return jobs(spark, sf).select("job_id", F.when(again, "retry").otherwise(F.col("status")).alias("next_status"), F.when(again, wait).alias("wait_s"))
+
+
+# ---- chunks, names and relations
+
+
+@add("i01_chunks")
+def i01(spark, sf):
+    """The chunks that every document is cut into; texts are whole, and each leaves the JVM once."""
+    d = spread(documents(spark, sf, "content"))
+    c = d.select("document_id", F.posexplode(chunked(F.col("content"))).alias("chunk_index", "content"))
+    return c.select("document_id", "chunk_index", F.octet_length("content").alias("bytes"), F.md5("content").alias("digest"))
+
+
+@add("h08_hybrid_chunks", f"""WITH ch AS (SELECT DISTINCT ON (chunk_id) chunk_id, document_id, chunk_index, content, embedding FROM chunks),
+    q AS (SELECT embedding::DOUBLE[] AS v FROM chunks WHERE embedding IS NOT NULL AND len(embedding) = 48 ORDER BY chunk_id LIMIT 1),
+    c AS (SELECT ch.*, d.ingested_at, {_score_sql('ch.content', QUERY)} AS text_score,
+        CASE WHEN len(embedding) = 48 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'sum') > 0
+             THEN coalesce(greatest(0, list_cosine_similarity(embedding::DOUBLE[], q.v)), 0) ELSE 0 END AS vector_score
+      FROM ch JOIN {DOCS_SQL} d ON d.document_id = ch.document_id CROSS JOIN q WHERE d.status <> 'deleted'),
+    pool AS (SELECT * FROM (SELECT * FROM c WHERE text_score > 0 ORDER BY text_score DESC, chunk_id LIMIT 30) UNION
+             SELECT * FROM (SELECT * FROM c WHERE vector_score > 0 ORDER BY vector_score DESC, chunk_id LIMIT 30))
+    SELECT chunk_id, document_id, round(text_score, 6) AS text_score, round(vector_score, 6) AS vector_score, round(text_score + 0.45 * vector_score, 6) AS rank_score
+    FROM pool ORDER BY text_score + 0.45 * vector_score DESC, ingested_at DESC, chunk_index, chunk_id LIMIT 10""")
+def h08(spark, sf):
+    c = once(spark, sf, "chunks", "chunk_id", "document_id", "chunk_index", "content", "embedding")
+    q = table(spark, sf, "chunks").where(F.size("embedding") == 48).orderBy("chunk_id").select("embedding").first()
+    out = R.recall_chunks_hybrid(c, documents(spark, sf, "ingested_at", "status"), QUERY, list(q[0]) if q else [1.0] * 48, 10)
+    return out.select("chunk_id", "document_id", *[F.round(x, 6).alias(x) for x in ("text_score", "vector_score", "rank_score")])
+
+
+_STEM = r"([^/]+?)(?:\.[A-Za-z]+)?/*$"
+
+
+@add("h17_resolved", rf"""WITH n AS (SELECT lower(trim(title)) AS name, 0 AS alias, authority_score, document_id FROM {DOCS_SQL} UNION ALL
+      SELECT lower(regexp_extract(source_url, '{_STEM}', 1)), 1, authority_score, document_id FROM {DOCS_SQL}),
+    asked AS (SELECT DISTINCT lower(trim(title)) AS name FROM document_snapshots UNION SELECT lower(regexp_extract(source_url, '{_STEM}', 1)) FROM document_snapshots)
+    SELECT DISTINCT ON (name) name, document_id, alias = 1 AS by_alias FROM n JOIN asked USING (name) WHERE name <> '' ORDER BY name, alias, coalesce(authority_score, 0) DESC, document_id""")
+def h17(spark, sf):
+    """The document that each name stands for: by title first, then by file name; then the greater authority. One aggregation, no window."""
+    d = documents(spark, sf, "title", "source_url", "authority_score")
+    stem = F.lower(F.regexp_extract("source_url", _STEM, 1))
+    far = -F.coalesce("authority_score", F.lit(0.0))
+    names = F.array(F.struct(F.lower(F.trim("title")).alias("name"), F.lit(0).alias("alias")), F.struct(stem.alias("name"), F.lit(1).alias("alias")))
+    n = d.select(F.explode(names).alias("n"), far.alias("far"), "document_id").where("n.name <> ''")
+    best = n.groupBy("n.name").agg(F.min(F.struct("n.alias", "far", "document_id")).alias("b"))
+    asked = table(spark, sf, "document_snapshots").select(F.explode(F.array(F.lower(F.trim("title")), stem)).alias("name")).distinct()
+    return best.join(asked, "name", "left_semi").select("name", "b.document_id", (F.col("b.alias") == 1).alias("by_alias"))
+
+
+@add("i17_relation_conflicts", f"""SELECT src, dst, count(*) FILTER (WHERE type <> 'should_not_use') AS kinds_for, sum(mentions)::BIGINT AS mentions,
+    CASE WHEN bool_or(type = 'should_use') THEN 'high' ELSE 'medium' END AS severity FROM ({retrieval.sql['i12_relations']})
+    WHERE type IN ('should_use', 'uses', 'should_not_use') GROUP BY ALL HAVING bool_or(type = 'should_not_use') AND bool_or(type <> 'should_not_use')""")
+def i17(spark, sf):
+    """Names that some claims say to use and others not to use: one row per pair of names."""
+    no = F.col("type") == "should_not_use"
+    r = i12(spark, sf).where(F.col("type").isin("should_use", "uses", "should_not_use")).groupBy("src", "dst").agg(
+        F.count_if(~no).alias("kinds_for"), F.count_if(no).alias("_no"), F.sum("mentions").alias("mentions"),
+        F.when(F.bool_or(F.col("type") == "should_use"), "high").otherwise("medium").alias("severity"))
+    return r.where("_no > 0 and kinds_for > 0").drop("_no")
+
+
+@add("i30_instants", """SELECT form, count(*) AS texts, count(t) AS read, count(*) FILTER (WHERE t = whole) AS exact FROM (
+    SELECT form, whole, CASE form WHEN 'second' THEN date_trunc('second', ts) WHEN 'day' THEN date_trunc('day', ts) END AS t FROM (
+      SELECT ts, date_trunc('second', ts) AS whole, CASE event_id % 3 WHEN 0 THEN 'second' WHEN 1 THEN 'day' ELSE 'other' END AS form FROM events)) GROUP BY ALL""")
+def i30(spark, sf):
+    """Instants written as text and read again."""
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "dd.MM.yyyy"))
+    e = table(spark, sf, "events").select(F.when(k == 0, "second").when(k == 1, "day").otherwise("other").alias("form"), instant(text).alias("t"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("whole"))
+    return e.groupBy("form").agg(F.count("*").alias("texts"), F.count("t").alias("read"), F.count_if(F.col("t") == F.col("whole")).alias("exact"))
+
+
+# ---- more of the store
+
+
+@add("b16_citing", f"""SELECT scope, count(*) AS claims FROM {CLAIMS_SQL} c JOIN (SELECT claim_id, array_agg(DISTINCT source_url) AS urls FROM evidence WHERE claim_id IS NOT NULL GROUP BY 1) e
+    ON e.claim_id = c.claim_id WHERE list_contains(urls, 'manual://note') GROUP BY ALL""")
+def b16(spark, sf):
+    """Claims whose citations contain an address: as a semi-join, so no claim's citations are ever collected."""
+    e = table(spark, sf, "evidence").where("source_url = 'manual://note'").select("claim_id").distinct()
+    return claims(spark, sf).join(e, "claim_id", "left_semi").groupBy("scope").agg(F.count("*").alias("claims"))
+
+
+@add("d25_passed", f"SELECT scope, round(avg(CASE WHEN met THEN 1 ELSE 0 END), 6) AS share, count(*) FILTER (WHERE NOT met) AS failed FROM ({registry.sql['d18_coverage']}) GROUP BY ALL")
+def d25(spark, sf):
+    return d18(spark, sf).groupBy("scope").agg(F.round(F.avg(F.col("met").cast("int")), 6).alias("share"), F.count_if(~F.col("met")).alias("failed"))
+
+
+@add("e02_first_of_address", f"""SELECT source_url, document_id, nth FROM (SELECT source_url, document_id, row_number() OVER (PARTITION BY source_url ORDER BY ingested_at, document_id) AS nth
+    FROM {DOCS_SQL} WHERE source_url IS NOT NULL AND ingested_at IS NOT NULL) WHERE nth <= 2""")
+def e02(spark, sf):
+    """The first two documents of each address; the limit is applied before the shuffle as well."""
+    d = documents(spark, sf, "source_url", "ingested_at").where("source_url is not null and ingested_at is not null")
+    nth = F.row_number().over(Window.partitionBy("source_url").orderBy("ingested_at", "document_id"))
+    return d.withColumn("nth", nth).where("nth <= 2").select("source_url", "document_id", "nth")
+
+
+@add("j03_inserted", f"""SELECT c.claim_id, CASE WHEN c.status = 'deprecated' AND coalesce(u.status, '') NOT IN ('verified', 'inferred') THEN c.status ELSE coalesce(u.status, c.status) END AS status,
+      round(greatest(c.confidence, u.confidence), 6) AS confidence FROM {CLAIMS_SQL} c JOIN (SELECT claim_id, arg_max({{'status': nullif(lower(trim(status)), ''), 'confidence': confidence}}, (received_at, update_id)) AS u
+      FROM claim_updates WHERE claim_id IS NOT NULL AND received_at IS NOT NULL AND update_id IS NOT NULL GROUP BY 1) ON c.claim_id = claim_id_1""".replace("SELECT claim_id, arg_max", "SELECT claim_id AS claim_id_1, arg_max"))
+def j03(spark, sf):
+    """Claims after the last update of each has been put in: a deprecated one wakes only for a trusted status; the greater confidence stays."""
+    u = table(spark, sf, "claim_updates").where("claim_id is not null and received_at is not null and update_id is not null")
+    s = F.lower(F.trim("status"))
+    u = u.groupBy("claim_id").agg(F.max_by(F.struct(F.when(s != "", s).alias("status"), "confidence"), F.struct("received_at", "update_id")).alias("u"))
+    j = claims(spark, sf).select("claim_id", "status", "confidence").join(u, "claim_id")
+    stays = (F.col("status") == "deprecated") & ~F.coalesce(F.col("u.status"), F.lit("")).isin("verified", "inferred")
+    status = F.when(stays, F.col("status")).otherwise(F.coalesce("u.status", "status"))
+    return j.select("claim_id", status.alias("status"), F.round(F.greatest("confidence", "u.confidence"), 6).alias("confidence"))
+
+
+@add("j06_evidence_once", """SELECT claim_id, count(*) AS given, count(DISTINCT sha256(concat_ws('|', coalesce(document_id, ''), coalesce(quote, '')))) AS kept FROM evidence WHERE claim_id IS NOT NULL GROUP BY ALL""")
+def j06(spark, sf):
+    """How much evidence of each claim was given, and how much of it is new: by hash, added up before a hot claim's rows meet."""
+    h = F.sha2(F.concat_ws("|", F.coalesce("document_id", F.lit("")), F.coalesce("quote", F.lit(""))), 256)
+    e = table(spark, sf, "evidence").where("claim_id is not null").groupBy("claim_id", h.alias("h")).agg(F.count("*").alias("n"))
+    return e.groupBy("claim_id").agg(F.sum("n").alias("given"), F.count("*").alias("kept"))
+
+
+@add("k03_enqueued", f"""SELECT source_config_id FROM (SELECT r.source_config_id, s.authority_score FROM {_READY} r JOIN source_configs s USING (source_config_id) WHERE ready)
+    ORDER BY coalesce(authority_score, 0) DESC, source_config_id LIMIT 10""")
+def k03(spark, sf):
+    """The sources whose next job is queued, ten a round at most."""
+    s = table(spark, sf, "source_configs").select("source_config_id", F.coalesce("authority_score", F.lit(0.0)).alias("p"))
+    return _ready(spark, sf).where("ready").join(s, "source_config_id").orderBy(F.desc("p"), "source_config_id").limit(10).select("source_config_id")
+
+
+@add("k11_pruned", f"""SELECT source, count(*) AS windows, count(*) FILTER (WHERE w < TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 25 HOUR) AS pruned FROM (
+    SELECT DISTINCT source, date_trunc('hour', updated_at) AS w FROM {JOBS_SQL}) GROUP BY ALL""")
+def k11(spark, sf):
+    """Hourly windows of each source, and those that ended over a day ago and go."""
+    w = jobs(spark, sf).select("source", F.date_trunc("hour", "updated_at").cast("timestamp_ntz").alias("w")).distinct()
+    old = micros("w") < micros(at(AS_OF_EVENTS)) - F.lit(25 * 3_600_000_000)
+    return w.groupBy("source").agg(F.count("*").alias("windows"), F.count_if(old).alias("pruned"))

@@ -10,17 +10,19 @@ from marginalia.plans import numbered, retrieval, rollups, store
 
 REGISTRIES = [numbered.registry, store.registry, retrieval.registry, rollups.registry]
 NAMES = [n for r in REGISTRIES for n in r.queries]
+#: Cutting by bytes is beyond SQL; see test_chunks.py.
+NO_SQL = {"i01_chunks"}
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, small, duck, name):
     what, count, _ = oracle.compare(spark, duck, name, small)
-    assert what == "ok"
+    assert what == ("no sql" if name in NO_SQL else "ok")
 
 
 def test_all_have_sql_and_names_are_apart():
     assert len(NAMES) == len(set(NAMES))
-    assert all(n in r.sql for r in REGISTRIES for n in r.queries)
+    assert {n for r in REGISTRIES for n in r.queries if n not in r.sql} == NO_SQL
 
 
 def test_nothing_else_imports_the_text_package():
