@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.keys import words
+from marginalia.session import written
 
 #: What separates the fields of a record of name=value or name: value fields, and what a field looks like.
 BREAK = r"[;|\r\n]"
@@ -77,18 +78,20 @@ def canonical_groups(df: DataFrame, id_col: str, texts: list[str]) -> DataFrame:
     so that equal records are neighbours even where a third of all rows are
     copies and fill several ranges; one scan compares neighbouring full keys. Only a
     range's first run can have begun before it: its true first id comes from the
-    notes, of which there is one per range, few enough to broadcast. Rows
+    notes, of which there is one per range, few enough to broadcast. The scan is written once, as adaptive execution may
+    coalesce ranges differently for each reader of an exchange. Rows
     without id are ignored; repeated rows count once. A null text equals an empty
     one. Extra columns don't matter. An id whose rows differ stands in each of its groups.
     """
     key = F.to_json(F.array(*[canonical_text(F.col(t)) for t in texts]))
     of = df.schema[id_col].dataType.simpleString()
-    runs = (
+    runs = written(
         df.where(F.col(id_col).isNotNull())
         .select(key.alias("key"), F.col(id_col).alias("id"))
         .repartitionByRange("key", "id")
         .sortWithinPartitions("key", "id")
-        .mapInPandas(_runs, f"kind int, rep {of}, id {of}, digest binary")
+        .mapInPandas(_runs, f"kind int, rep {of}, id {of}, digest binary"),
+        "runs",
     )
     notes = runs.where(F.col("kind") == _NOTE).groupBy("digest").agg(F.min("rep").alias("true_rep"))
     first = runs.where(F.col("kind") == _FIRST).join(F.broadcast(notes), "digest", "left")

@@ -116,6 +116,19 @@ def test_a_hot_group_of_copies_spans_ranges(spark):
     assert got == {("00001" if i % 3 else f"{i:05d}", f"{i:05d}") for i in range(6000)} | {("xxx", "xxx")}
 
 
+def test_a_hot_third_of_a_larger_table_under_adaptive_execution(spark):
+    i, n = F.col("id"), 400_000
+    df = spark.range(n).select(F.format_string("%07d", i).alias("id"), F.when(i % 3 == 0, "m the same").otherwise(F.concat(F.md5(i.cast("string")), F.lit(" text"))).alias("text"), F.lit("s").alias("scope"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    got = canonical_groups(df, "id", ["text", "scope"]).withColumn("hot", F.col("id").cast("int") % 3 == 0).persist()
+    try:
+        assert got.count() == n == got.select("id").distinct().count()
+        assert got.where("hot").select("rep").distinct().collect() == [("0000000",)]
+        assert got.where("not hot and rep <> id").count() == 0
+    finally:
+        got.unpersist()
+
+
 def test_salted_join_equals_a_plain_one(spark):
     left = spark.range(60_000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise((F.col("id") % 50).cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("7", 2), (None, 3)], "k string, v int")
