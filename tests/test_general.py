@@ -170,6 +170,26 @@ def test_packing(spark):
     assert got == {("x", 5, "kept"), ("y", 0, "dropped"), ("z", 4, "kept"), ("c", 1, "cut"), ("n", 0, "kept")}
 
 
+def test_packets_of_any_size_span_ranges(spark):
+    rng = random.Random(3)
+    rows = [("hot", i, rng.choice([0, 3, 70, 200, 900, 2000]), rng.random() < 0.001) for i in range(110_000)] + [(f"p{i % 40:02d}", i, rng.randint(1, 300), rng.random() < 0.1) for i in range(400)]
+    rows += [("slow", i, 1 if i > 30_000 else 2000, i == 59_000) for i in range(60_000)]
+    want, left = set(), {}
+    for p, i, c, k in sorted(rows):
+        x = left.setdefault(p, 600)
+        used, fate = (c, "kept") if c <= x else (x, "cut") if k and x >= 40 else (0, "dropped")
+        left[p] = x - used
+        want.add((p, i, c, used, fate))
+    b = spark.createDataFrame(rows, "packet string, block int, cost int, critical boolean").withColumn("priority", F.lit(1))
+    for coalesced in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        try:
+            got = [tuple(r) for r in packed(b, "packet", 600).select("packet", "block", "cost", "used", "fate").collect()]
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(got) == len(rows) and set(got) == want
+
+
 def test_limits(spark):
     base = dt.datetime(2025, 1, 1)
     e = spark.createDataFrame([("a", base + dt.timedelta(seconds=s)) for s in (0, 1, 1, 9, 10, 30)] + [("b", base), (None, base), ("b", None)], "k string, ts timestamp_ntz")
