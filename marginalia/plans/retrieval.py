@@ -188,6 +188,26 @@ def i02(spark, sf):
     return documents(spark, sf, "content").select("document_id", F.explode(X.bullet_claims(F.col("content"))).alias("claim"))
 
 
+_TRIM_SQL = lambda c: rf"regexp_replace({c}, '^[\s\x{{0b}}\x{{85}}\p{{Z}}]+|[\s\x{{0b}}\x{{85}}\p{{Z}}]+$', '', 'g')"
+_CLEAN_SQL = lambda c: _TRIM_SQL(rf"regexp_replace({c}, '\s+', ' ', 'g')")
+
+
+@add("i02_claims", rf"""WITH a AS (SELECT document_id, list_transform(string_split(content, chr(10)), lambda x: {_TRIM_SQL("x")}) AS a FROM {DOCS_SQL} WHERE content IS NOT NULL),
+    l AS (SELECT document_id, generate_subscripts(a, 1) AS i, unnest(a) AS line FROM a),
+    f AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY i) AS fences FROM l),
+    k AS (SELECT document_id, i, line, starts_with(line, '- ') OR starts_with(line, '* ') AS bullet FROM f WHERE NOT starts_with(line, '```') AND fences % 2 = 0),
+    s AS (SELECT document_id, unnest(regexp_extract_all(string_agg(line, chr(10) ORDER BY i), '[A-Z][^.!?]{{39,260}}[.!?]')) AS raw FROM k WHERE NOT bullet AND NOT starts_with(line, '#') AND line <> '' GROUP BY document_id),
+    b AS (SELECT document_id, {_CLEAN_SQL("substr(line, 3)")} AS claim FROM k WHERE bullet
+      UNION SELECT document_id, {_CLEAN_SQL("raw")} FROM s WHERE regexp_matches({_CLEAN_SQL("raw")}, '(?i)\b(?:""" + "|".join(X.POLICY_WORDS) + r""")\b')),
+    g AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY claim) AS nth FROM b WHERE octet_length(encode(claim)) BETWEEN 20 AND 260
+      AND NOT regexp_matches(lower(claim), '^(?:""" + "|".join(X.CODE_STARTS) + r""") ') AND NOT contains(claim, ' := ') AND NOT contains(claim, ' => ')
+      AND NOT contains(claim, '($') AND NOT contains(claim, '`)') AND length(claim) - length(replace(replace(claim, '{', ''), '}', '')) < 2 AND length(claim) - length(replace(claim, ';', '')) < 2)
+    SELECT document_id, claim FROM g WHERE nth <= 25""")
+def i02_claims(spark, sf):
+    """Claims written as bullets or as sentences with a word of policy, outside of fenced code."""
+    return documents(spark, sf, "content").select("document_id", F.explode(X.extracted_claims(F.col("content"))).alias("claim"))
+
+
 def _redact_sql(c: str) -> str:
     for p, to in X.REDACTIONS:
         c = f"regexp_replace({c}, '{p}', '{to.replace('$', chr(92))}', 'g')"

@@ -3,7 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from marginalia.functions.temporal import policy_seconds, schedule_seconds
-from marginalia.functions.text import POLICY, bullet_claims, policy_part, query_tokens, redacted, text_score
+from marginalia.functions.text import POLICY, bullet_claims, extracted_claims, policy_part, query_tokens, redacted, text_score
 from marginalia.sources.files import path_matches, read_tree
 from marginalia.sources.transcripts import preferences, turns
 
@@ -53,3 +53,16 @@ def test_texts(spark):
     assert one(spark, bullet_claims(F.lit(text))) == ["Services must use the shared queue"]
     got = spark.range(1).select(*[F.regexp_extract(F.lit("The API must not use Redis for sessions."), POLICY, i).alias(f"g{i}") for i in range(1, 6)]).first()
     assert tuple(got) == ("The API", "must", "not ", "Redis", "sessions") and one(spark, policy_part(F.lit(' "The  Shared Queue".'))) == "shared queue"
+
+
+def test_claims_of_bullets_and_prose_outside_of_code(spark):
+    text = "\n".join([
+        "# Services must not be taken from a heading of any length.", "- Zones are listed in one shared place", " ```sh", "- Bullets inside of code are not claims", "All code must be left out as it is not any prose.", "```",
+        "Every service should write", "its logs to the shared queue. It must. The house was painted in the colours of the town last year.",
+        "The misuser of a word that only holds other words is not a claim!", "```", "* A fence that is never closed holds the rest",
+    ])
+    assert one(spark, extracted_claims(F.lit(text))) == ["Every service should write its logs to the shared queue.", "Zones are listed in one shared place"]
+    many = "\n".join([f"- Zone {i:02d} is listed in one shared place" for i in range(25)] + ["Agents must be named by the team that owns them."])
+    got = one(spark, extracted_claims(F.lit(many)))
+    assert len(got) == 25 and got[0].startswith("Agents must") and got[-1].startswith("- Zone 23"[2:])
+    assert one(spark, extracted_claims(F.lit(None).cast("string"))) == []
