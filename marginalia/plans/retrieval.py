@@ -13,6 +13,7 @@ from marginalia.functions.vectors import cosine_to
 from marginalia.operators import recall as R
 from marginalia.operators.graph import catalogue, related
 from marginalia.plans import Registry
+from marginalia.operators.policies import POLICY_OF_ANY_VERB, policy_conflicts
 from marginalia.plans.store import AS_OF, CLAIMS, CLAIMS_SQL, DOCS_SQL, VALID_SQL, _EFFECTIVE, _NEWEST, at, claims, documents, once
 from marginalia.sources.files import glob_regex, path_matches, skip_reason
 from marginalia.sources.transcripts import preferences, turns
@@ -261,6 +262,19 @@ def i09(spark, sf):
     return c.where("against > 0 and in_favour > 0")
 
 
+@add("i09_policy_conflicts", rf"""WITH p AS (
+      SELECT scope, {_part_sql("m[1]")} AS subject, lower(m[4]) AS verb, {_part_sql("m[6]")} AS purpose, {_part_sql("m[5]")} AS value, trim(m[3]) <> '' AS negated, lower(m[2]) <> 'should' AS hard FROM (
+        SELECT scope, [{", ".join(f"regexp_extract(claim_text, r, {i})" for i in range(1, 7))}] AS m
+        FROM {CLAIMS_SQL}, (SELECT '{POLICY_OF_ANY_VERB}' AS r) WHERE regexp_matches(claim_text, r)))
+    SELECT scope, subject, verb, purpose, 'opposite' AS kind, value, 1 AS options, count(*) FILTER (WHERE NOT negated) AS in_favour, count(*) FILTER (WHERE negated) AS against, CASE WHEN bool_or(hard) THEN 'high' ELSE 'medium' END AS severity
+    FROM p WHERE subject <> '' AND value <> '' GROUP BY scope, subject, verb, purpose, value HAVING bool_or(negated) AND NOT bool_and(negated)
+    UNION ALL SELECT scope, subject, verb, purpose, 'different', NULL, count(DISTINCT value), count(*), 0, CASE WHEN bool_or(hard) THEN 'high' ELSE 'medium' END
+    FROM p WHERE subject <> '' AND value <> '' AND NOT negated GROUP BY scope, subject, verb, purpose HAVING count(DISTINCT value) > 1""")
+def i09_policy_conflicts(spark, sf):
+    """What policies on one subject and purpose contradict each other in."""
+    return policy_conflicts(claims(spark, sf))
+
+
 _NAME = r"[A-Za-z][A-Za-z0-9\-]*"
 
 

@@ -10,6 +10,7 @@ from marginalia.operators.canonical import canonical_counts, canonical_groups
 from marginalia.operators.changes import retired, upserted, with_feedback
 from marginalia.operators.limits import limited
 from marginalia.operators.packing import packed
+from marginalia.operators.policies import policy_conflicts
 from marginalia.operators.references import ForeignKey, Table, orphan_references
 from marginalia.operators.skew import hot_keys, salted_left_join
 from marginalia.operators.snapshots import snapshot_changes
@@ -190,6 +191,29 @@ def test_packets_of_any_size_span_ranges(spark):
         assert len(got) == len(rows) and set(got) == want
 
 
+def test_policies_contradict_on_one_subject_and_purpose(spark):
+    """Both kinds, as comparing all pairs finds them."""
+    rng = random.Random(11)
+    claims = []
+    for _ in range(400):
+        who, strength, no, what = rng.choice(["api", "The API", "worker", "jobs"]), rng.choice(["must", "should", "should", "needs to", "required\nto"]), rng.choice(["", "not "]), rng.choice([f"queue {i}" for i in range(40)])
+        why = rng.choice(["", "sessions", "the sessions", "logs"])
+        claims.append((rng.choice(["s", "t", None]), who, strength, no, what, why, f"{who} {strength} {no}use\n {what}" + (f" for {why}" if why else "") + rng.choice(["", ".", " !\n"])))
+    plain = lambda x: x.lower().removeprefix("the ")
+    want = {}
+    for s, w, st, no, v, y, _ in claims:
+        for s2, w2, st2, no2, v2, y2, _ in claims:
+            if (s, plain(w), plain(y)) == (s2, plain(w2), plain(y2)):
+                kind = "opposite" if no != no2 and v == v2 else "different" if not no and not no2 and v != v2 else None
+                if kind:
+                    k = (s, plain(w), plain(y), kind, v if kind == "opposite" else None)
+                    want[k] = "high" if want.get(k) == "high" or st != "should" or st2 != "should" else "medium"
+    rows = [(s, t) for s, *_, t in claims] + [("s", None), ("s", "no policy"), ("s", "x must stop"), ("u", "api must use a cache"), ("u", "api must write b for logs"), ("u", "web must not use a cache")]
+    got = policy_conflicts(spark.createDataFrame(rows, "scope string, claim_text string")).collect()
+    assert {(r.scope, r.subject, r.purpose, r.kind, r.value): r.severity for r in got} == want and len(got) == len(want)
+    assert {k[3] for k in want} == {"opposite", "different"} and set(want.values()) == {"high", "medium"}
+
+
 def test_limits(spark):
     base = dt.datetime(2025, 1, 1)
     e = spark.createDataFrame([("a", base + dt.timedelta(seconds=s)) for s in (0, 1, 1, 9, 10, 30)] + [("b", base), (None, base), ("b", None)], "k string, ts timestamp_ntz")
