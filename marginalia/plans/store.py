@@ -15,6 +15,7 @@ from marginalia.operators.asof import held_when
 from marginalia.operators.changes import expired, latest, retired, upserted, with_feedback
 from marginalia.operators.limits import limited
 from marginalia.operators.packing import packed
+from marginalia.operators.ranks import nearest_ranks
 from marginalia.operators.recall import active_status, not_superseded, refresh_due
 from marginalia.operators.skew import salted_left_join
 from marginalia.plans import Registry
@@ -383,8 +384,7 @@ def a23(spark, sf):
 @add("d28_percentiles", """SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL""")
 def d28(spark, sf):
     """Nearest-rank percentiles."""
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf, "events").groupBy("event_type").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"))
+    return nearest_ranks(table(spark, sf, "events"), "event_type", "value", {"p50": 50, "p95": 95})
 
 
 @add("d29_coverage", f"""SELECT c.scope, round(avg(CASE WHEN e.claim_id IS NOT NULL THEN 1 ELSE 0 END), 6) AS cited, count(DISTINCT c.source_config_id) AS sources

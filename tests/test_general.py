@@ -11,6 +11,7 @@ from marginalia.operators.changes import retired, upserted, with_feedback
 from marginalia.operators.limits import limited
 from marginalia.operators.packing import packed
 from marginalia.operators.policies import policy_conflicts
+from marginalia.operators.ranks import nearest_ranks
 from marginalia.operators.references import ForeignKey, Table, orphan_references
 from marginalia.operators.skew import hot_keys, salted_left_join
 from marginalia.operators.snapshots import snapshot_changes
@@ -214,6 +215,20 @@ def test_policies_contradict_on_one_subject_and_purpose(spark):
     assert {k[3] for k in want} == {"opposite", "different"} and set(want.values()) == {"high", "medium"}
 
 
+def test_nearest_ranks_of_a_key_that_spans_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, float(rng.randint(0, 900))])) for _ in range(9000)] + [("one", 2.0), ("none", None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = nearest_ranks(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"p0": 0, "p50": 50, "p95": 95, "p100": 100}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for r in got:
+        v = sorted(x for k, x in rows if k == r.k and x is not None)
+        assert tuple(r)[1:] == tuple(v[max(1, -(-len(v) * p // 100)) - 1] if v else None for p in (0, 50, 95, 100))
+    assert {r.k for r in got} == {"hot", "b", None, "one", "none"} and len(got) == 5
+
+
 def test_limits(spark):
     base = dt.datetime(2025, 1, 1)
     e = spark.createDataFrame([("a", base + dt.timedelta(seconds=s)) for s in (0, 1, 1, 9, 10, 30)] + [("b", base), (None, base), ("b", None)], "k string, ts timestamp_ntz")
