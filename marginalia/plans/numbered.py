@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.keys import none_if_blank
-from marginalia.operators.canonical import canonical_counts, canonical_groups
 from marginalia.operators.history import attribute_history, states_at
 from marginalia.operators.references import INHERITING, REPORTED, TABLES, orphan_counts, orphan_references
 from marginalia.operators.snapshots import snapshot_changes
@@ -175,34 +174,3 @@ def p4_inherited(spark: SparkSession, sf: str) -> DataFrame:
     """References to rows that exist but are orphans themselves."""
     c = orphan_counts(_reported(_orphans(spark, sf).where("kind = 'inherited'")))
     return c.select("table_name", "field_name", "period", "references", "keys")
-
-
-_P6 = r"""
-    WITH parts AS (
-      SELECT claim_id, claim_text, scope,
-             list_filter(string_split_regex(coalesce(claim_text, ''), '[;|\r\n]'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS ps,
-             list_filter(string_split_regex(coalesce(scope, ''), '[;|\r\n]'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS ss
-      FROM claims WHERE claim_id IS NOT NULL),
-    canon AS (
-      SELECT DISTINCT claim_id,
-        CASE WHEN len(ps) >= 2 AND len(list_filter(ps, lambda x: NOT regexp_matches(x, '^\s*[^\s=:;|][^=:;|]*[=:][^;|]*$'))) = 0
-             THEN ';' || array_to_string(list_sort(list_transform(ps, lambda x: array_to_string(regexp_extract_all(lower(x), '[\p{L}\p{N}]+'), ' '))), ';')
-             ELSE array_to_string(regexp_extract_all(lower(coalesce(claim_text, '')), '[\p{L}\p{N}]+'), ' ') END AS t,
-        CASE WHEN len(ss) >= 2 AND len(list_filter(ss, lambda x: NOT regexp_matches(x, '^\s*[^\s=:;|][^=:;|]*[=:][^;|]*$'))) = 0
-             THEN ';' || array_to_string(list_sort(list_transform(ss, lambda x: array_to_string(regexp_extract_all(lower(x), '[\p{L}\p{N}]+'), ' '))), ';')
-             ELSE array_to_string(regexp_extract_all(lower(coalesce(scope, '')), '[\p{L}\p{N}]+'), ' ') END AS s
-      FROM parts),
-    reps AS (SELECT *, min(claim_id) OVER (PARTITION BY t, s) AS rep FROM canon)
-"""
-
-
-@add("p6_found", _P6 + "SELECT DISTINCT rep AS claim_id, claim_id AS copy_claim_id FROM reps WHERE rep <> claim_id")
-def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    g = canonical_groups(table(spark, sf, "claims"), "claim_id", ["claim_text", "scope"])
-    return g.where("rep <> id").select(F.col("rep").alias("claim_id"), F.col("id").alias("copy_claim_id"))
-
-
-@add("p6_counts", _P6 + "SELECT rep AS claim_id, count(DISTINCT claim_id) AS copies FROM reps GROUP BY rep")
-def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per distinct record with the number of claim ids it stands for."""
-    return canonical_counts(table(spark, sf, "claims"), "claim_id", ["claim_text", "scope"]).withColumnRenamed("rep", "claim_id")
