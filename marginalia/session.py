@@ -36,21 +36,21 @@ def local_session(app: str = "marginalia", cpus: str | int = "*", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, local runs) gets a temporary folder.
+    Only a local session (tests, benchmarks) without that setting gets a temporary
+    folder of its own; anywhere else executors could not read it, so a missing setting is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-marginalia-")
-        spark.conf.set("spark.checkpoint.dir", found) if _settable(spark) else None
-        _fallback[0] = found = _fallback[0] or found
-    return found.rstrip("/")
-
-
-_fallback: list[str | None] = [None]
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _fallback:
+        _fallback[sc.applicationId] = tempfile.mkdtemp(prefix="spark-marginalia-")
+    return _fallback[sc.applicationId]
 
 
-def _settable(spark: SparkSession) -> bool:
-    return spark.conf.isModifiable("spark.checkpoint.dir")
+_fallback: dict[str, str] = {}
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
