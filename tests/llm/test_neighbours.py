@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm.neighbours import Layout, most_similar_vectors, similar_ids, similar_pairs, usable
+from marginalia.llm.neighbours import Cells, Layout, _coded, _search, _unit, most_similar_vectors, similar_ids, similar_pairs, usable
 
 SCHEMA = "kind string, id string, vector array<float>"
 
@@ -38,12 +38,69 @@ def test_exact_while_all_cells_are_probed(spark):
 def test_recall_with_few_probes(spark):
     x = clustered(6000, seed=1)
     want, _ = truth(x, 10)
-    layout = Layout(cell_rows=60, probes=25, few_cells=100, groups=5, group_rows=900, sample=1500)
+    layout = Layout(cell_rows=60, probes=(12, 0.4, 0.75), groups=5, group_rows=900, sample=1500)
     got = similar_ids(vectors(spark, x), 10, layout=layout).groupBy("id").agg(F.collect_list("other").alias("n")).collect()
     hit = sum(len({int(o[1:]) for o in r.n} & set(want[int(r.id[1:])].tolist())) for r in got)
     assert len(got) == 6000 and hit / 60_000 >= 0.9
 
 
+def searched(x, layout, k, least=-2.0):
+    """What the tasks of one kind find, without Spark: the k best of each row, and how many rows each task holds."""
+    rng = np.random.default_rng(5)
+    cells = Cells(x[rng.choice(len(x), min(len(x), layout.sample), replace=False)], len(x), layout)
+    cell, last, into = cells.met(x)
+    code, fine, scale = _coded(x)
+    task = cells.task(cells.group[cell[into[:, 0]]], into[:, 1])
+    found = [[] for _ in x]
+    sizes = []
+    for t in np.unique(task):
+        rows = into[task == t, 0]
+        sizes.append(len(rows))
+        who, sim = _search(code[rows], fine[rows], scale[rows], cell[rows], last[rows], cells, k, least)
+        for r, w, v in zip(rows, who, sim):
+            found[r] += [(-b, rows[a]) for a, b in zip(w, v) if a >= 0]
+    return [[int(w) for _, w in sorted(f)[:k]] for f in found], sizes, cells
+
+
+def test_recall_of_the_default_layout_on_a_larger_collection():
+    n = 100_000
+    x = _unit(clustered(n, seed=7).astype(float))
+    got, sizes, _ = searched(x, Layout(), 10)
+    hit = 0
+    queries = np.arange(0, n, 50)  # every id that is divisible by 50, against all
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -2
+    for want, q in zip(np.argpartition(-s, 10, axis=1)[:, :10], queries):
+        hit += len(set(want.tolist()) & set(got[q]))
+    assert hit / (10 * len(queries)) >= 0.95
+    assert max(sizes) <= 100_000
+
+
+def test_no_task_of_a_large_collection_holds_over_100_000_vectors():
+    """Tasks as they would be for three million vectors, from every hundredth of them."""
+    x = _unit(clustered(30_000, seed=8).astype(float))
+    cells = Cells(x, 3_000_000, Layout())
+    cell, _, into = cells.met(x)
+    task = cells.task(cells.group[cell[into[:, 0]]], into[:, 1])
+    assert cells.groups == 94 and np.bincount(task).max() * 100 <= 100_000
+
+
+def test_each_pair_of_groups_is_one_task():
+    cells = Cells(_unit(clustered(4000, seed=9).astype(float)), 4000, Layout(cell_rows=50, group_rows=400), first=7)
+    g, h = np.meshgrid(np.arange(cells.groups), np.arange(cells.groups))
+    t = cells.task(g.ravel(), h.ravel())
+    assert cells.groups == 10 and sorted(set(t)) == list(range(7, 7 + cells.tasks)) and (cells.task(h.ravel(), g.ravel()) == t).all()
+
+
+def test_a_kind_that_the_sample_missed_is_searched_whole(spark):
+    x = clustered(300, 6, 11)
+    many = vectors(spark, x, "a").unionByName(vectors(spark, x[:, :5], "b"))
+    layout = Layout(sample=2)
+    want, _ = truth(x[:, :5], 3)
+    got = similar_ids(many, 3, layout=layout).where("kind = 'b'").groupBy("id").agg(F.collect_list("other").alias("n")).collect()
+    assert {r.id: {int(o[1:]) for o in r.n} for r in got} == {f"v{i:06d}": set(want[i]) for i in range(300)}
+
+
 def test_copies_ties_and_two_kinds(spark):
     x = np.eye(4, dtype=np.float32)
     same = vectors(spark, np.repeat(x[:1], 30, 0), "a", [f"s{i:02d}" for i in range(30)])
