@@ -261,8 +261,9 @@ def most_similar_vectors(vectors: DataFrame, k: int = 10, layout: Layout = Layou
         return spark.createDataFrame([], "kind string, v1 bigint, v2 bigint, near array<struct<v1:bigint,v2:bigint,sim:float>>")
     # A bounded sample, by hash: half of it to the kinds in proportion, half evenly.
     wanted = {kind: layout.sample / 2 * (1 / len(sizes) + n / total) / n for kind, n in sizes.items()}
+    # A row a kind, as in the driver.
     shares = spark.createDataFrame([(kind, int(min(1.0, p) * 1_000_003) + 1) for kind, p in wanted.items()], "kind string, below int")
-    sample = hashed.join(shares, "kind").where(F.pmod("v1", F.lit(1_000_003)) < F.col("below"))
+    sample = hashed.join(F.broadcast(shares), "kind").where(F.pmod("v1", F.lit(1_000_003)) < F.col("below"))
     sample = sample.groupBy("kind", "v1", "v2").agg(F.first("vector").alias("vector")).orderBy("kind", "v1", "v2").select("kind", "vector").toPandas()
     layouts: dict[str, Cells] = {}
     first = 0
@@ -318,7 +319,7 @@ def most_similar_vectors(vectors: DataFrame, k: int = 10, layout: Layout = Layou
             yield from found()
 
     tiles = reps.mapInPandas(dealt, "task int, kind string, n int, ids binary, cell binary, last binary, code binary, fine binary, scale binary")
-    parts = min(first, max(4 * spark.sparkContext.defaultParallelism, total // layout.group_rows))
+    parts = min(first, max(4 * spark.sparkContext.defaultParallelism, 6 * total // layout.group_rows))
     tiles = tiles.repartitionById(parts, F.pmod("task", F.lit(parts))).sortWithinPartitions("task")
     pairs = tiles.mapInPandas(searched, "kind string, v1 bigint, v2 bigint, w1 bigint, w2 bigint, sim float")
     near = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "w1", "w2")))  # of each task k at most
