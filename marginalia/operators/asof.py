@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_US = 7 * 86_400_000_000
+from marginalia.session import written
 
 
-def held_when(events: DataFrame, versions: DataFrame, key: str, at_us: str, bucket_us: int = BUCKET_US) -> DataFrame:
+def held_when(events: DataFrame, versions: DataFrame, key: str, at_us: str) -> DataFrame:
     """``events`` with the version (columns but ``key``) that held at ``at_us``; null where none did.
 
     ``versions`` have ``key, start_us, end_us`` (null: open) and don't overlap within a
-    key. Both sides meet by key and week, so that a key with many events and many
-    versions is no product of both; a version stands in each week it spans, up
-    to the last event of all. Column names of both sides must differ but for the key.
+    key. Both are laid out as one table sorted by key and time (a version before the events of its start) in ranges, so
+    that a key with a third of all rows spans many. Within each part of a key the last version is carried on to the events;
+    events before a part's first version get the last one of the parts before, of which there is a row each.
+    No row is repeated, however long a version lasts. Column names of both sides must differ but for the key.
     """
-    last = events.agg(F.max(at_us).alias("last"))  # one row
-    week = lambda c: F.floor(c / F.lit(bucket_us))
-    v = versions.join(F.broadcast(last)).where(F.col("start_us") <= F.col("last"))
-    stop = F.greatest(F.col("start_us"), F.least(F.coalesce(F.col("end_us") - 1, F.col("last")), F.col("last")))
-    v = v.withColumn("_week", F.explode(F.sequence(week(F.col("start_us")), week(stop)))).drop("last")
-    e = events.withColumn("_week", week(F.col(at_us)))
-    on = (e[key] == v[key]) & (e["_week"] == v["_week"]) & (v["start_us"] <= e[at_us]) & (v["end_us"].isNull() | (v["end_us"] > e[at_us]))
-    return e.join(v, on, "left").drop(v[key], v["_week"], e["_week"])
+    e_cols, v_cols = events.columns, [c for c in versions.columns if c != key]
+    version = F.struct(*v_cols)
+    kind = versions.select(version.alias("v")).schema["v"].dataType
+    e = events.select(F.col(key).alias("_k"), F.col(at_us).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v"), F.struct(*e_cols).alias("_e"))
+    v = versions.where(F.col(key).isNotNull() & F.col("start_us").isNotNull())
+    v = v.select(F.col(key).alias("_k"), F.col("start_us").alias("_t"), F.lit(0).alias("_side"), version.alias("_v"), F.lit(None).cast(e.schema["_e"].dataType).alias("_e"))
+    # Written once, as adaptive execution may coalesce ranges differently for each reader of an exchange.
+    laid = written(e.unionByName(v).repartitionByRange("_k", "_t", "_side").withColumn("_part", F.spark_partition_id()), "held")
+    upto = Window.partitionBy("_k", "_part").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    here = laid.withColumn("_v", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1")
+    ends = laid.groupBy("_k", "_part").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range that holds the key
+    carried = ends.select(F.col("_k").alias("_k2"), F.col("_part").alias("_part2"), F.last("_last", ignorenulls=True).over(before).alias("_before")).where("_before IS NOT NULL")
+    met = here.join(carried, (F.col("_k") == F.col("_k2")) & (F.col("_part") == F.col("_part2")), "left").withColumn("_v", F.coalesce("_v", "_before"))
+    holds = F.col("_t").isNotNull() & (F.col("_v.end_us").isNull() | (F.col("_v.end_us") > F.col("_t")))
+    return met.withColumn("_v", F.when(holds, F.col("_v"))).select(*[F.col(f"_e.{c}").alias(c) for c in e_cols], *[F.col(f"_v.{c}").alias(c) for c in v_cols])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.session import written
 from marginalia.sources.tables import micros
 
 
@@ -46,7 +47,26 @@ def effective_updates(
     return u.groupBy("entity", "eff").agg(F.max(last).alias("r")).select("entity", "eff", "r.exp", *[f"r.{c}" for c in rest[3:]])
 
 
-def attribute_history(updates: DataFrame, attributes: dict[str, Column], entity: str = "claim_id", max_fold: int = 512, **columns: str) -> DataFrame:
+def segmented(df: DataFrame, key: str, at: str, most: int, name: str) -> tuple[DataFrame, int]:
+    """``df`` sorted by key and moment over the whole table and cut every ``most`` rows: with ``seg``, ``left`` and ``right``; and the greatest ``seg``.
+
+    Segments are numbered in order. ``left`` marks a segment's first row and ``right`` its last
+    one, or all rows of a range's last segment: only at such rows can a key go on in
+    another segment. The table is written once, so that all its readers see the same segments. A moment must be one of a kind within its key.
+    """
+    place = F.monotonically_increasing_id()  # the number of the range, and 33 bits for the row within it
+    laid = written(df.repartitionByRange(key, at).sortWithinPartitions(key, at).withColumn("_place", place), name)
+    part, row = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    ends = laid.groupBy(part.alias("_part")).agg(F.max(row).alias("_row"))  # a row per range
+    most_parts, most_rows = ends.agg(F.max("_part"), F.max("_row")).first()
+    width = (most_rows or 0) // most + 1
+    cut = laid.select(*df.columns, part.alias("_part"), row.alias("_row")).join(F.broadcast(ends.withColumnRenamed("_row", "_end")), "_part")
+    seg = F.expr(f"_part * {width} + _row div {most}")
+    left, right = F.col("_row") % most == 0, (F.col("_row") % most == most - 1) | F.expr(f"_row div {most} = _end div {most}")
+    return cut.select(*df.columns, seg.alias("seg"), left.alias("left"), right.alias("right")), ((most_parts or 0) + 1) * width - 1
+
+
+def attribute_history(updates: DataFrame, attributes: dict[str, Column], entity: str = "claim_id", max_fold: int = 256, **columns: str) -> DataFrame:
     """Each version of each entity with the period in which it held.
 
     Columns: ``entity`` by its own name, ``start_us``, ``end_us`` (null: it still
@@ -54,52 +74,25 @@ def attribute_history(updates: DataFrame, attributes: dict[str, Column], entity:
     next update takes effect. Versions that follow each other without a gap and
     agree in all attributes (a null equals a null) are one.
 
-    An entity's moments are folded as one sorted array by a higher-order
-    function that appends a version only upon change. An entity with more than
-    ``max_fold`` moments is first cut by approximate quantiles of time (and one
-    beyond 256 times that by a grid of time as well) into segments of about that
-    size, so no array or task holds a whole hot entity;
-    versions that touch a cut are joined afterwards. Of an empty table the history is empty.
+    The moments of all entities are sorted and cut into segments of ``max_fold``; an entity's moments
+    within a segment are folded as one sorted array by a higher-order function that appends a version only upon change. Where
+    an entity may go on in the next segment, its outermost versions there are folded once more together with
+    those of the neighbouring segments, and so on in ever fewer and wider ones. So no array
+    is longer than ``max_fold`` and no task holds an entity, however many moments it has, and small and large
+    entities go the same way. Of an empty table the history is empty.
     """
     names = list(attributes)
     moments = effective_updates(updates, attributes, entity, **columns)
     att = [f"a{i}" for i in range(len(names))]
-
-    sizes = moments.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > max_fold)
-    step = F.greatest(F.floor(F.lit(256 * max_fold) / F.col("n")), F.lit(1))
-    parts = F.greatest(F.ceil(F.col("n") / (256 * max_fold)), F.lit(1))  # of each of the 256, for entities beyond 256 * max_fold
-    bounds = (
-        moments.join(sizes, "entity")
-        .groupBy("entity")
-        .agg(
-            F.max("n").alias("n"),
-            F.percentile_approx("eff", [i / 256 for i in range(1, 256)], 2560).alias("q"),
-            (F.max("eff") - F.min("eff")).alias("span"),
-        )
-        .select(
-            "entity",
-            F.array_distinct(F.filter("q", lambda q, i: (i + 1) % step == 0)).alias("cuts"),
-            F.when(parts > 1, F.greatest(F.floor(F.col("span") / (256 * parts)), F.lit(1))).alias("width"),
-        )
-    )
-    cut = moments.join(bounds, "entity", "left")
-    grouped = (
-        cut.withColumn("seg", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda b: b <= F.col("eff")))))
-        .withColumn("sub", F.coalesce(F.floor(F.col("eff") / F.col("width")), F.lit(0)))
-        .groupBy("entity", "seg", "sub")
-        .agg(F.array_sort(F.collect_list(F.struct("eff", "exp", *att))).alias("rows"), F.max(F.col("cuts").isNotNull()).alias("hot"))
-    )
     version = "struct<s:bigint,e:bigint," + ",".join(f"{a}:{moments.schema[a].dataType.simpleString()}" for a in att) + ">"
 
-    def folded(df: DataFrame, after: Column) -> DataFrame:
-        """``df`` with the versions of each row's moments; ``after``: when the next moment behind them takes effect."""
+    def folded(parts: DataFrame) -> DataFrame:
+        """The versions of each entity and segment, from parts of versions (``s, e`` and attributes), of which none goes on when the next begins."""
+        rows = parts.groupBy("entity", "seg").agg(
+            F.array_sort(F.collect_list(F.struct("s", "e", *att))).alias("rows"), F.max("left").alias("left"), F.max("right").alias("right")
+        )
         ends = F.transform(
-            "rows",
-            lambda x, i: F.struct(
-                x["eff"].alias("s"),
-                F.least(x["exp"], F.coalesce(F.get("rows", i + 1)["eff"], after)).alias("e"),
-                *[x[a].alias(a) for a in att],
-            ).cast(version),
+            "rows", lambda x, i: F.struct(x["s"].alias("s"), F.least(x["e"], F.get("rows", i + 1)["s"]).alias("e"), *[x[a].alias(a) for a in att]).cast(version)
         )
 
         def fold(acc: Column, x: Column) -> Column:
@@ -115,28 +108,25 @@ def attribute_history(updates: DataFrame, attributes: dict[str, Column], entity:
             )
 
         start = F.struct(F.array().cast(f"array<{version}>").alias("done"), F.lit(None).cast(version).alias("cur"))
-        return df.withColumn("versions", F.aggregate(ends, start, fold, lambda acc: F.concat(acc["done"], F.array(acc["cur"]))))
-
-    cold = folded(grouped.where(~F.col("hot")), F.lit(None).cast("bigint")).select("entity", F.explode("versions").alias("v"))
-
-    hot = grouped.where("hot")
-    firsts = hot.select("entity", "seg", "sub", F.get("rows", F.lit(0))["eff"].alias("first"))
-    after = firsts.withColumn("after", F.lead("first").over(Window.partitionBy("entity").orderBy("first"))).drop("first")
-    parts = folded(hot.join(after, ["entity", "seg", "sub"]), F.col("after")).select(
-        "entity", F.size("versions").alias("n"), F.posexplode("versions").alias("i", "v")
-    )
-    inner = parts.where((F.col("i") > 0) & (F.col("i") < F.col("n") - 1)).select("entity", "v")
-    edge = parts.where((F.col("i") == 0) | (F.col("i") == F.col("n") - 1)).select("entity", "v.*")
-    w = Window.partitionBy("entity").orderBy("s")
-    same = F.lag("e").over(w) == F.col("s")
-    for a in att:
-        same = same & F.lag(a).over(w).eqNullSafe(F.col(a))
-    edge = edge.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
-    edge = edge.groupBy("entity", "island").agg(
-        F.min("s").alias("s"), F.max_by("e", "s").alias("e"), *[F.min_by(a, "s").alias(a) for a in att]
-    ).select("entity", F.struct("s", "e", *att).cast(version).alias("v"))
-
-    return cold.unionByName(inner).unionByName(edge).select(
+        return rows.withColumn("versions", F.aggregate(ends, start, fold, lambda acc: F.concat(acc["done"], F.array(acc["cur"])))).drop("rows")
+
+    first = moments.select("entity", F.col("eff").alias("s"), F.col("exp").alias("e"), *att)
+    parts, last = segmented(first, "entity", "s", max_fold, "moments")
+    fan = max(2, max_fold // 2)
+    done = None
+    while True:
+        f = folded(parts)
+        if not last:  # one segment is left
+            settled = f.select("entity", F.explode("versions").alias("v"))
+            done = settled if done is None else done.unionByName(settled)
+            break
+        outer = (F.col("left") & (F.col("i") == 0)) | (F.col("right") & (F.col("i") == F.size("versions") - 1))
+        settled = f.select("*", F.posexplode("versions").alias("i", "v")).where(~outer).select("entity", "v")
+        done = settled if done is None else done.unionByName(settled)
+        up = f.where("left OR right").select("*", F.posexplode("versions").alias("i", "v")).where(outer)
+        parts = up.select("entity", F.expr(f"seg div {fan}").alias("seg"), "v.*", F.lit(True).alias("left"), F.lit(True).alias("right"))
+        last //= fan
+    return done.select(
         F.col("entity").alias(entity), F.col("v.s").alias("start_us"), F.col("v.e").alias("end_us"),
         *[F.col(f"v.{a}").alias(n) for a, n in zip(att, names)],
     )

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from marginalia.operators.asof import held_when
-from marginalia.operators.history import attribute_history, states_at
+from marginalia.operators.history import attribute_history, segmented, states_at
 
 SCHEMA = "update_id bigint, claim_id string, status string, sup string, valid_from timestamp_ntz, expires_at timestamp_ntz, received_at timestamp_ntz, entity string, eff int"
 T0 = dt.datetime(2025, 1, 1)
@@ -98,5 +98,54 @@ def test_states_and_events_meet_their_version(spark):
     at = [base, base + 10_000_000, base + 20_000_000]
     assert {(r.at_us - base, r.status) for r in states_at(h, at).collect()} == {(0, "x"), (20_000_000, "y")}
     e = spark.createDataFrame([(i, "a", a) for i, a in enumerate(at)] + [(9, "z", base), (10, None, base), (11, "a", None)], "id int, claim_id string, at_us bigint")
-    got = {r.id: r.status for r in held_when(e, h.drop("supersedes_claim_id"), "claim_id", "at_us", 3_000_000).collect()}
+    got = {r.id: r.status for r in held_when(e, h.drop("supersedes_claim_id"), "claim_id", "at_us").collect()}
     assert got == {0: "x", 1: None, 2: "y", 9: None, 10: None, 11: None}
+
+
+def test_an_entity_of_two_thirds_of_all_moments_fills_many_small_segments(spark):
+    """200,000 moments of one entity: no segment is longer than asked for, and the versions are those of a window over it."""
+    i = F.col("id")
+    at = F.timestamp_add("SECOND", i, F.lit(T0).cast("timestamp_ntz"))
+    who = F.when(i % 3 < 2, F.lit("hot")).otherwise(F.concat(F.lit("c"), i % 5000))
+    u = spark.range(300_000).select(
+        i.alias("update_id"), who.alias("claim_id"), (i % 1000 < 500).cast("string").alias("status"), F.lit(None).cast("string").alias("sup"),
+        at.alias("valid_from"), F.when(i % 7000 == 0, at + F.expr("INTERVAL 1 SECOND")).alias("expires_at"), at.alias("received_at"),
+    )
+    laid, last = segmented(u.select("claim_id", "update_id"), "claim_id", "update_id", 256, "test")
+    sizes = laid.groupBy("seg").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 256 and sizes.count() <= last + 1 <= 300_000 // 256 + 200
+    h = attribute_history(u, {"status": F.col("status"), "supersedes_claim_id": F.col("sup")})
+    got = sorted((r.claim_id, r.start_us, r.end_us or 0, r.status) for r in h.collect())
+    u.createOrReplaceTempView("hot_updates")
+    want = spark.sql("""
+        WITH ends AS (SELECT *, least(expires_at, lead(valid_from) OVER w) AS until FROM hot_updates WINDOW w AS (PARTITION BY claim_id ORDER BY valid_from)),
+        marked AS (SELECT *, if(lag(until) OVER w = valid_from AND lag(status) OVER w = status, 0, 1) AS fresh FROM ends WINDOW w AS (PARTITION BY claim_id ORDER BY valid_from)),
+        runs AS (SELECT *, sum(fresh) OVER (PARTITION BY claim_id ORDER BY valid_from) AS run FROM marked)
+        SELECT claim_id, unix_micros(CAST(min(valid_from) AS TIMESTAMP)) AS s, CAST(coalesce(unix_micros(CAST(max_by(until, valid_from) AS TIMESTAMP)), 0) AS BIGINT) AS e, any_value(status) AS status
+        FROM runs GROUP BY claim_id, run""")
+    assert got == sorted(map(tuple, want.collect()))
+
+
+def test_events_meet_versions_across_ranges(spark):
+    """A key with most events, and versions far apart from the events that they hold for."""
+    rng = random.Random(4)
+    versions, start = [], 0
+    for k in ("hot", "b", "c"):
+        start = 0
+        for n in range(400 if k == "hot" else 5):
+            end = start + rng.randint(1, 50)
+            versions.append((k, start, None if n == 4 and k == "b" else end, f"{k}{n}"))
+            start = end + rng.choice([0, 0, 7])
+    events = [(i, rng.choice(["hot"] * 5 + ["b", "c", "z", None]), rng.choice([None] + [rng.randint(-5, 12_000)] * 20)) for i in range(4000)]
+    want = {i: next((v for c, s, e, v in versions if c == k and t is not None and s <= t and (e is None or t < e)), None) for i, k, t in events}
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        e = spark.createDataFrame(events, "id int, claim_id string, at_us bigint")
+        v = spark.createDataFrame([*versions, (None, 0, None, "none"), ("z", None, None, "never")], "claim_id string, start_us bigint, end_us bigint, status string")
+        assert {r.id: r.status for r in held_when(e, v, "claim_id", "at_us").collect()} == want
+        assert held_when(e.limit(0), v, "claim_id", "at_us").count() == 0 and held_when(e, v.limit(0), "claim_id", "at_us").where("status IS NULL").count() == 4000
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x) if x is not None else spark.conf.unset(k)
