@@ -19,6 +19,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Labelled rows that the classifier is fitted on, at most; all else covers all rows.
 MAX_LABELLED = 20_000
+#: Sources that targets may name, at most.
+MAX_SOURCES = 10_000
 
 
 def source_name(c: Column) -> Column:
@@ -49,29 +51,27 @@ def with_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULAR
     return docs.withColumn("tokens", size(F.col(text))).drop(text)
 
 
-def domain_posteriors(labelled: DataFrame, rows: DataFrame, names: list[str], max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """For each of ``rows`` the probability of each source of ``names``: ``doc_id, posterior``.
+def with_posteriors(labelled: DataFrame, rows: DataFrame, names: list[str], max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``rows`` with the probability of each source of ``names`` (``posterior``) in place of ``features``.
 
     A multinomial regression on hashed words and side columns (``features``,
     an array of strings), fitted on a bounded sample of the labelled rows by hash of id.
+    With fewer than two sources among them all are as likely.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
-    tf = HashingTF(inputCol="features", outputCol="tf", numFeatures=2048, binary=True)
+    tf = HashingTF(inputCol="features", outputCol="_tf", numFeatures=2048, binary=True)
     n = labelled.count()
     part = min(1.0, max_labelled / max(n, 1))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(part * 1_000_003) + 1)
     sample = written(sample.select(F.col("index").cast("double").alias("label"), "features"), "labelled")
     if sample.select("label").distinct().limit(2).count() < 2:
-        even = F.array(*[F.lit(1 / len(names)) for _ in names])
-        return rows.select("doc_id", even.alias("posterior"))
-    model = LogisticRegression(featuresCol="tf", labelCol="label", maxIter=15, regParam=0.05, family="multinomial").fit(tf.transform(sample))
-    known = model.numClasses
-    post = model.transform(tf.transform(rows)).select("doc_id", vector_to_array("probability").alias("p"))
-    pad = F.array(*[F.lit(0.0) for _ in range(max(0, len(names) - known))]).cast("array<double>")
-    return post.select("doc_id", F.concat("p", pad).alias("posterior"))
+        return rows.drop("features").withColumn("posterior", F.array(*[F.lit(1 / len(names)) for _ in names]).cast("array<double>"))
+    model = LogisticRegression(featuresCol="_tf", labelCol="label", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", maxIter=15, regParam=0.05, family="multinomial").fit(tf.transform(sample))
+    pad = F.array(*[F.lit(0.0) for _ in range(max(0, len(names) - model.numClasses))]).cast("array<double>")
+    return model.transform(tf.transform(rows)).withColumn("posterior", F.concat(vector_to_array("_p"), pad)).drop("features", "_tf", "_p", "_r", "_y")
 
 
 def membership(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list]:
@@ -87,108 +87,123 @@ def membership(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
         .agg(F.max(F.struct("share", "cap")).alias("t"))
         .select("name", "t.share", "t.cap")
         .orderBy("name")
-        .limit(10_001)
+        .limit(MAX_SOURCES + 1)
         .collect()
     )
-    if len(goal) > 10_000:
-        raise ValueError("more than 10,000 sources")
+    if len(goal) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     spark = docs.sparkSession
-    index = spark.createDataFrame([(g.name, i, float(g.cap)) for i, g in enumerate(goal)], "name string, index int, cap double")
+    index = spark.createDataFrame([(g.name, i) for i, g in enumerate(goal)], "name string, index int")
     side = F.array_compact(F.array(F.concat(F.lit("lang="), F.lower("lang")), F.concat(F.lit("type="), "doc_type")))
     features = F.concat(F.array_distinct(words(F.concat_ws(" ", "title", "text"))), side)
     d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", source_name(F.col("source")).alias("name"), "text", features.alias("features"))
     d = d.join(F.broadcast(index), "name", "left")
-    post = domain_posteriors(
-        d.where("index is not null").select("doc_id", "index", "features"),
-        d.where("index is null").select("doc_id", "features"), [g.name for g in goal], max_labelled,
-    )
-    sized = with_tokens(d.select("doc_id", "index", "cap", "text"), "text", vocabulary)
-    known = sized.where("index is not null").select("doc_id", "tokens", "index", "cap", F.lit(None).cast("array<double>").alias("posterior"))
-    caps = F.array(*[F.lit(float(g.cap)) for g in goal]).cast("array<double>")
-    loose = sized.where("index is null").select("doc_id", "tokens").join(post.dropDuplicates(["doc_id"]), "doc_id")
-    loose = loose.select(
-        "doc_id", "tokens", F.lit(None).cast("int").alias("index"),
-        F.floor(F.aggregate(F.zip_with("posterior", caps, lambda p, c: p * c), F.lit(0.0), lambda a, x: a + x) + 1e-9).cast("double").alias("cap"), "posterior",
-    )
-    return written(known.unionByName(loose), "members"), goal
-
-
-def _rates(b: pd.DataFrame, start: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of a batch after the steps so far, and its memberships."""
-    s = len(start)
-    m = np.zeros((len(b), s))
-    known = b["index"].notna().to_numpy()
-    m[np.flatnonzero(known), b["index"].to_numpy(dtype=float)[known].astype(int)] = 1
-    if (~known).any():
-        m[~known] = np.stack(b.posterior[~known].to_numpy())
-    cap = b.cap.to_numpy(dtype=float)
-    r = np.clip(m @ start, 0, cap)
-    for move in (m @ steps.T).T if len(steps) else ():
-        r = np.clip(r - move, 0, cap)
-    return r, m
-
-
-def fitted_steps(members: DataFrame, goal: list, total_tokens: float | None = None, rounds: int = 50, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Projected-gradient least squares for the documents' rates: the start and the steps, from which each document's rate follows.
-
-    Each round sums the expected tokens of each source over all documents (a vector
-    per partition is all that is shuffled) and moves the rates against the difference from the
-    targets, scaled by what each source holds, within 0 and the cap. Rounds end
-    when the sums no longer move. Also returned: the targets in tokens.
+    labelled = d.where("index is not null")
+    known = with_tokens(labelled.select("doc_id", "index", "text"), "text", vocabulary).select("doc_id", "tokens", "index", F.lit(None).cast("array<double>").alias("posterior"))
+    loose = with_tokens(d.where("index is null").select("doc_id", "text", "features"), "text", vocabulary)
+    loose = with_posteriors(labelled.select("doc_id", "index", "features"), loose, [g.name for g in goal], max_labelled)
+    members = known.unionByName(loose.select("doc_id", "tokens", F.lit(None).cast("int").alias("index"), "posterior"))
+    return written(members, "members"), goal
+
+
+class Rates:
+    """How often documents are used: those of a recorded source all alike, the others by their posteriors.
+
+    A document's rate starts at the weighted start of its sources and follows the steps, always within
+    0 and its cap. Where a source is recorded that is a number per source; posteriors are taken a few
+    hundred at a time, so that no matrix is large.
+    """
+
+    def __init__(self, goal: list, start: np.ndarray) -> None:
+        self.cap = np.array([float(g.cap) for g in goal])
+        self.start, self.steps = start, np.zeros((0, len(goal)))
+        self.known = np.clip(start, 0, self.cap)
+
+    def step(self, move: np.ndarray) -> None:
+        self.steps = np.vstack([self.steps, move])
+        self.known = np.clip(self.known - move, 0, self.cap)
+
+    def loose(self, posterior: pd.Series) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """By slices of rows: the posteriors, the rates, and the caps (of the sources, weighted, in whole numbers)."""
+        at = max(1, min(512, 4_000_000 // max(1, len(self.cap))))
+        for a in range(0, len(posterior), at):
+            m = np.stack(posterior.iloc[a : a + at].to_numpy()).astype(float)
+            cap = np.floor(m @ self.cap + 1e-9)
+            r = np.clip(m @ self.start, 0, cap)
+            for move in (m @ self.steps.T).T:
+                r = np.clip(r - move, 0, cap)
+            yield slice(a, a + at), m, r, cap
+
+
+def fitted_rates(members: DataFrame, goal: list, total_tokens: float | None = None, rounds: int = 50, tolerance: float = 1e-5) -> tuple[Rates, np.ndarray]:
+    """Projected-gradient least squares for the documents' rates; also the targets in tokens.
+
+    Each round sums the expected tokens of each source over all documents and moves
+    the rates against the difference from the targets, scaled by what each source holds, within 0 and the
+    cap. Documents of a recorded source are summed once, as all of a source have one rate; the others are summed in
+    each round, by a vector per partition. Rounds end when the sums no longer move.
     """
     s = len(goal)
     share = np.array([max(0.0, g.share) for g in goal])
     share = share / share.sum() if share.sum() > 0 else share
-    seed = np.zeros(s)
+    sure = np.zeros(s)
+    for r in members.where("index is not null").groupBy("index").agg(F.sum("tokens").alias("t")).collect():  # a row a source
+        sure[r["index"]] = r.t
+    others = members.where("index is null").select("tokens", "posterior")
 
-    def sums(start: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sums(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((2, s))
             for b in batches:
-                if len(b):
-                    r, m = _rates(b, start, steps)
-                    tok = b.tokens.to_numpy(dtype=float)
+                for at, m, r, _ in rates.loose(b.posterior):
+                    tok = b.tokens.iloc[at].to_numpy(dtype=float)
                     total += np.stack([tok @ m, (tok * r) @ m])
             yield pd.DataFrame({"s": np.arange(s), "held": total[0], "used": total[1]})
 
-        got = members.mapInPandas(run, "s int, held double, used double").groupBy("s").agg(F.sum("held").alias("held"), F.sum("used").alias("used")).toPandas().sort_values("s")
+        got = others.mapInPandas(run, "s int, held double, used double").groupBy("s").agg(F.sum("held").alias("held"), F.sum("used").alias("used")).toPandas().sort_values("s")
         if not len(got):
             return np.zeros(s), np.zeros(s)
         return got.held.to_numpy(), got.used.to_numpy()
 
-    held, _ = sums(seed, np.zeros((0, s)))
+    held = sure + sums(Rates(goal, np.zeros(s)))[0]
     want = share * (held.sum() if total_tokens is None else total_tokens)
-    start = np.divide(want, held, out=np.zeros(s), where=held > 0)
-    steps = np.zeros((0, s))
+    scaled = lambda x: np.divide(x, held, out=np.zeros(s), where=held > 0)
+    rates = Rates(goal, scaled(want))
     before = None
     for _ in range(rounds):
-        _, used = sums(start, steps)
-        off = used - want
-        if np.abs(off).max(initial=0) <= tolerance * max(want.sum(), 1) or before is not None and np.abs(used - before).max() <= tolerance * max(want.sum(), 1):
+        used = sure * rates.known + sums(rates)[1]
+        still = before is not None and np.abs(used - before).max(initial=0) <= tolerance * max(want.sum(), 1)
+        if still or np.abs(used - want).max(initial=0) <= tolerance * max(want.sum(), 1):
             break
         before = used
-        steps = np.vstack([steps, np.divide(off, held, out=np.zeros(s), where=held > 0)])
-    return start, steps, want
+        rates.step(scaled(used - want))
+    return rates, want
 
 
-def mixed(members: DataFrame, goal: list, total_tokens: float | None = None) -> DataFrame:
+def mixed(members: DataFrame, goal: list, total_tokens: float | None = None, fitted: tuple[Rates, np.ndarray] | None = None) -> DataFrame:
     """Each document with its fitted ``rate`` and how many ``copies`` of it the mix has: ``doc_id, source, tokens, rate, copies``.
 
     ``copies`` is the rate's whole part, plus one for a share of documents as
     large as the rest, chosen by hash of the id; never more than the cap. ``source`` is null
     where only the classifier's belief is known.
     """
-    start, steps, _ = fitted_steps(members, goal, total_tokens)
-    names = [g.name for g in goal]
+    rates, _ = fitted or fitted_rates(members, goal, total_tokens)
+    names = np.array([g.name for g in goal], dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            r, _ = _rates(b, start, steps)
+            known = b["index"].notna().to_numpy()
+            at = b["index"].to_numpy(dtype=float)[known].astype(int)
+            r, cap = np.zeros(len(b)), np.zeros(len(b))
+            source = np.full(len(b), None, dtype=object)
+            r[known], cap[known], source[known] = rates.known[at], rates.cap[at], names[at]
+            others = np.flatnonzero(~known)
+            for part, _, x, most in rates.loose(b.posterior[~known]):
+                r[others[part]], cap[others[part]] = x, most
             draw = b.draw.to_numpy(dtype=float)
-            copies = np.minimum(np.floor(r) + (draw < r - np.floor(r)), b.cap.to_numpy(dtype=float))
-            source = [names[int(i)] if pd.notna(i) else None for i in b["index"]]
+            copies = np.minimum(np.floor(r) + (draw < r - np.floor(r)), cap)
             yield pd.DataFrame({"doc_id": b.doc_id, "source": source, "tokens": b.tokens, "rate": r, "copies": copies.astype("int32"), "posterior": b.posterior})
 
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(1 << 30)
@@ -196,32 +211,39 @@ def mixed(members: DataFrame, goal: list, total_tokens: float | None = None) ->
     return members.withColumn("draw", draw).mapInPandas(run, f"doc_id {kind}, source string, tokens bigint, rate double, copies int, posterior array<double>")
 
 
-def reached_shares(mix: DataFrame, goal: list, spark=None) -> DataFrame:
-    """Per source: ``target_share``, ``actual_share`` of the mix's tokens, the tokens held and used, the documents used, and the most copies of one.
+def reached_shares(mix: DataFrame, goal: list, wanted: np.ndarray | None = None) -> DataFrame:
+    """Per source: ``target_share``, ``actual_share`` of the mix's tokens, the tokens held, wanted and used, the documents used, and the most copies of one.
 
-    A document without a usable source counts for each source by its posterior.
-    Sources that can't reach their target even with all repeats show it by a lower actual share.
+    A document without a usable source counts for each source by its posterior; posteriors are summed to a vector per partition.
+    Sources that can't reach their target even with all repeats show it by fewer tokens used than wanted.
     """
-    spark = mix.sparkSession
-    names = F.array(*[F.lit(g.name) for g in goal])
-    one = F.array(F.struct(F.col("source").alias("name"), F.lit(1.0).alias("m")))
-    many = F.arrays_zip(names.alias("name"), F.col("posterior").alias("m"))
-    part = mix.select("tokens", "copies", F.explode(F.when(F.col("source").isNotNull(), one).otherwise(many)).alias("p"), F.col("source").isNotNull().alias("sure"))
-    by = part.groupBy(F.col("p.name").alias("source")).agg(
-        F.sum(F.col("tokens") * F.col("p.m")).alias("held_tokens"),
-        F.sum(F.col("tokens") * F.col("copies") * F.col("p.m")).alias("used_tokens"),
-        F.sum(F.when(F.col("sure") & (F.col("copies") > 0), 1).otherwise(0)).alias("documents"),
-        F.max(F.when(F.col("sure"), F.col("copies"))).alias("most_copies"),
+    spark, s = mix.sparkSession, len(goal)
+    place = {g.name: i for i, g in enumerate(goal)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, s))
+        for b in batches:
+            tok, copies = b.tokens.to_numpy(dtype=float), b.copies.to_numpy(dtype=float)
+            known = b.source.notna().to_numpy()
+            at = b.source[known].map(place).to_numpy(dtype=int)
+            total[0] += np.bincount(at, tok[known], s)
+            total[1] += np.bincount(at, (tok * copies)[known], s)
+            total[2] += np.bincount(at, copies[known] > 0, s)
+            np.maximum.at(total[3], at, copies[known])
+            others = np.flatnonzero(~known)
+            for a in range(0, len(others), 512):
+                rows = others[a : a + 512]
+                m = np.stack(b.posterior.iloc[rows].to_numpy()).astype(float)
+                total[:2] += np.stack([tok[rows] @ m, (tok * copies)[rows] @ m])
+        yield pd.DataFrame({"i": np.arange(s), "held": total[0], "used": total[1], "documents": total[2], "most": total[3]})
+
+    parts = mix.select("source", "tokens", "copies", "posterior").mapInPandas(run, "i int, held double, used double, documents double, most double")
+    by = parts.groupBy("i").agg(
+        F.sum("held").alias("held_tokens"), F.sum("used").alias("used_tokens"), F.sum("documents").cast("bigint").alias("documents"), F.max("most").cast("int").alias("most_copies")
     )
-    total = by.agg(F.sum("used_tokens").alias("all_tokens"))
-    goals = spark.createDataFrame([(g.name, float(g.share), int(g.cap)) for g in goal], "source string, target_share double, max_repeats int")
-    return (
-        goals.join(by, "source", "left")
-        .crossJoin(F.broadcast(total))  # one row
-        .select(
-            "source", "target_share", "max_repeats",
-            F.coalesce(F.try_divide("used_tokens", "all_tokens"), F.lit(0.0)).alias("actual_share"),
-            *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("held_tokens", "used_tokens")],
-            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "most_copies")],
-        )
-    )
+    wanted = np.zeros(s) if wanted is None else wanted
+    goals = spark.createDataFrame([(i, g.name, float(g.share), int(g.cap), float(w)) for i, (g, w) in enumerate(zip(goal, wanted))], "i int, source string, target_share double, max_repeats int, wanted_tokens double")
+    total = by.agg(F.sum("used_tokens").alias("all_tokens"))  # one row
+    none = {"held_tokens": 0.0, "used_tokens": 0.0, "documents": 0, "most_copies": 0}
+    share = F.coalesce(F.try_divide("used_tokens", "all_tokens"), F.lit(0.0)).alias("actual_share")
+    return goals.join(by, "i", "left").crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", share, "wanted_tokens", *none).fillna(none)

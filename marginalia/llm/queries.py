@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.canonical import canonical_counts, canonical_groups
-from marginalia.llm.leak import leaked_passages, without_leaks
-from marginalia.llm.mixing import membership, mixed, reached_shares
+from marginalia.llm.leak import MIN_WORDS, leaked_passages, without_leaks
+from marginalia.llm.mixing import fitted_rates, membership, mixed, reached_shares
 from marginalia.llm.neighbours import similar_ids, similar_pairs, usable
 from marginalia.llm.quality import COMMON, text_statistics, text_types
 from marginalia.llm.splitting import split_items
@@ -127,13 +127,13 @@ def _leaks(f, spark: SparkSession, sf: str) -> DataFrame:
 
 @add("p7_found", _LEAK + "SELECT DISTINCT doc_id, item_id FROM texts JOIN grams USING (g)")
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaks(leaked_passages, spark, sf).select("doc_id", "item_id")
+    return _leaks(leaked_passages, spark, sf).where(F.col("longest") >= MIN_WORDS).select("doc_id", "item_id")
 
 
 @add("p7_items", _LEAK + "SELECT item_id, count(DISTINCT doc_id) AS documents FROM texts JOIN grams USING (g) GROUP BY item_id")
 def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     """Which items leaked, and into how many documents."""
-    return _leaks(leaked_passages, spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return _leaks(leaked_passages, spark, sf).where(F.col("longest") >= MIN_WORDS).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 @add("p7_cleaned")
@@ -145,7 +145,8 @@ def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
 @add("p8_shares")
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     members, goal = membership(spread(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
-    return reached_shares(mixed(members, goal), goal)
+    fitted = fitted_rates(members, goal)
+    return reached_shares(mixed(members, goal, fitted=fitted), goal, fitted[1])
 
 
 @add("p8_mix")
