@@ -12,25 +12,38 @@ from marginalia.session import written
 
 KINDS = ["prose", "list", "table", "junk"]
 
-# Common words by language.
+# Common words by language, which are the words of its grammar: articles and pronouns, prepositions, conjunctions,
+# auxiliary verbs, and adverbs that go with them.
 COMMON = {
-    "en": "the of and to in a is that it for was on are as with be this by from or an have had not has they at were which "
-    "one all you we their been if when who will more no out so what up about than them can only other new some could "
-    "these two may then do first any my now such like our over me even most after also did many before must through your "
-    "should because each how both too where while but until its there would us nobody once again does",
-    "fr": "le la les de des du un une et est que qui dans pour pas ne ce cette il elle on nous vous au aux sur avec sans par "
-    "plus se sont a ont été avant après mais ou où son sa ses leur quand deux même encore tout toutes presque avons avait "
-    "cas bien jusqu parce n l d c s qu y en à",
-    "de": "der die das und ist nicht ein eine einen einem einer zu den dem des mit von auf für im in es sich auch an als wie "
-    "wir ich sie er uns aber oder nur noch bis bei nach vor wenn weil dass war waren wird werden hat haben kein keine "
-    "alle doch am zum zur aus durch über ob so dann ohne was wer bisher diese dieser",
-    "es": "el la los las de del un una y es que en por para no se con su sus al lo como más pero o si ya este esta esto son "
-    "fue eran hay antes después cuando hasta sin sobre todos todas casi quién qué también le nos ha mejor dos cada nadie "
-    "aunque todavía porque caso ese esa otra",
-    "id": "yang dan di ke dari untuk dengan tidak ini itu pada akan ada kami kita mereka adalah sudah belum karena jika atau "
-    "saja juga oleh agar sebelum setelah sampai hampir semua dua sebagai dalam harus boleh bisa tanpa lagi hanya tetapi "
-    "apa pun kalau ketika mengapa bukan sama baru dulu meski minggu bahwa setiap masih meskipun telah serta bagi atas para lama dapat "
-    "maka sedang sampai setelah sebelum tolong hingga seperti antara namun",
+    "en": "the a an this that these those each every either neither some any no all both such what which whose "
+    "i you he she it we they me him her us them my your his its our their who whom itself themselves "
+    "of in to for on with at by from as into about than through after over between out against during without before under around among "
+    "within along across behind beyond up down off above near since until upon per "
+    "and or but nor so yet if because while although though unless whether when where why how "
+    "be am is are was were been being have has had having do does did will would shall should can could may might must "
+    "not only also very too there here then now just more most other",
+    "fr": "le la les l un une des du de d au aux ce cet cette ces mon ton son ma ta sa mes tes ses notre votre leur nos vos leurs "
+    "je j tu il elle on nous vous ils elles me m te t se s lui y en qui que qu quoi dont où "
+    "à dans par pour sur sous avec sans entre vers chez depuis pendant avant après contre et ou mais donc ni car si comme quand lorsque puisque parce "
+    "est sont était étaient être été suis sommes êtes a ai as avons avez ont avait avaient avoir eu peut doit "
+    "ne n pas plus très aussi bien tout tous toute toutes même autre autres",
+    "de": "der die das den dem des ein eine einen einem einer eines kein keine keinen keiner "
+    "ich du er sie es wir ihr mich mir dich dir ihn ihm uns euch ihnen sich mein sein unser dieser diese dieses diesem diesen jeder jede jedes was wer welche "
+    "in im an am auf aus bei beim mit nach seit von vom zu zum zur für durch gegen ohne um über unter vor hinter neben zwischen bis während wegen "
+    "und oder aber denn weil dass wenn ob als obwohl damit sondern wie wo wann warum "
+    "ist sind war waren bin bist gewesen hat haben hatte hatten habe werden wird wurde wurden worden kann können muss müssen soll sollen will wollen darf "
+    "nicht nur auch noch schon sehr so da dann hier alle mehr",
+    "es": "el la los las lo un una unos unas este esta estos estas ese esa esos esas aquel aquella esto eso "
+    "yo tú él ella nosotros ellos ellas usted ustedes me te se nos le les mi mis tu tus su sus nuestro nuestra qué quién cuál que "
+    "de del a al en con por para sin sobre entre hasta desde hacia según tras bajo ante contra durante "
+    "y e o u ni pero sino si porque como cuando donde aunque mientras "
+    "es son era eran fue fueron ser sido está están estaba estar ha han había haber hay he "
+    "no ya muy más menos también tan todo toda todos todas otro otra",
+    "id": "yang ini itu tersebut saya aku kami kita anda kamu dia ia mereka nya apa siapa mana bagaimana mengapa kapan "
+    "di ke dari untuk dengan pada dalam oleh kepada terhadap tentang antara sejak hingga sampai sebelum setelah "
+    "dan atau tetapi tapi namun serta maupun karena sebab jika kalau bila ketika saat agar supaya bahwa sebagai seperti maka lalu kemudian "
+    "adalah ialah merupakan ada tidak bukan belum sudah telah sedang akan masih pernah dapat bisa harus boleh "
+    "juga saja hanya lebih sangat para setiap semua suatu sebuah seorang lagi pun",
 }
 
 #: Lines of lists, of tables and of machine output. Fixed patterns of this operator.
@@ -46,13 +59,16 @@ TABLE_LINE = [
 ]
 MACHINE_LINE = [
     ("", r"^\s*(?:\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d|[A-Za-z0-9+/=]{40,}\s*$|(?:0x)?[0-9a-fA-F]{24,}\s*$|[\"'}\])]+[,;]?\s*$|at [\w.$]+\()"),
-    ("=", r"\b(?:trace|dur|pid|code)="),
+    ("=", r"(?:^|\s)[A-Za-z_][\w.]*=\S+\s(?:.*\s)?[A-Za-z_][\w.]*=\S"),  # two or more of name=value
     ("\"", r"^\s*(?:\"[^\"]*\"\s*:\s|[\[{].*[\"'\]}:]\s*,?\s*$)"),
     ("'", r"^\s*[\[{].*[\"'\]}:]\s*,?\s*$"),
     (":", r"^\s*[\[{].*[\]}:]\s*,?\s*$"),
     ("<", r"^\s*<[^>]+>"),
 ]
 MOJIBAKE = r"Ã.|â€.?|Â|ï¿½|�|[\x00-\x08\x0e-\x1f\x80-\x9f]"
+CONTROL = r"[\x00-\x08\x0e-\x1f]"
+#: A full stop behind a word or what closes behind one, and before a blank, what closes, or the end.
+SENTENCE_END = r"[.!?…](?<=[\p{L}\p{N}\"'»”’)\]][.!?…])(?=[\s\"'»”’)\]]|$)|[。！？]"
 ENDS = r"[.!?…:。！？]['\"»”’)\]*_]*\s*$"
 
 
@@ -77,16 +93,21 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def any_of(l: Column, patterns: list[tuple[str, str]]) -> Column:
         return reduce(Column.__or__, [l.contains(m) & l.rlike(p) if m else l.rlike(p) for m, p in patterns])
 
-    def line(l: Column) -> Column:
+    def marks(l: Column) -> Column:
+        """What is looked for in a line, each once; what it makes the line is settled from these."""
         n = F.size(F.split(F.trim(l), r"\s+"))
-        machine = any_of(l, MACHINE_LINE)
-        odd = F.length(F.regexp_replace(l, r"[\p{L}\p{N}\p{M}\s|,.;:\"'()\-]+", "")) * 4 >= F.length(l)
-        table = ~machine & ~odd & any_of(l, TABLE_LINE) & ~l.rlike(r"^\s*\S+(?: +\S+){9,}[.!?]\s*$")
-        listed = ~machine & ~table & l.rlike(LIST_LINE) & (n <= 14)
-        kind = F.when(machine, "m").when(table, "t").when(listed, "l").when(n <= 3, "s").otherwise("p")
-        return F.struct(F.length(l).alias("c"), n.alias("n"), kind.alias("k"), l.rlike(ENDS).alias("e"))
-
-    x = base.select("doc_id", "t", "w", "ls", F.transform("ls", line).alias("q"))
+        return F.struct(
+            F.length(l).alias("c"), n.alias("n"), any_of(l, MACHINE_LINE).alias("m"), any_of(l, TABLE_LINE).alias("t"), l.rlike(LIST_LINE).alias("l"),
+            (F.length(F.regexp_replace(l, r"[\p{L}\p{N}\p{M}\s|,.;:\"'()\-]+", "")) * 4 >= F.length(l)).alias("odd"),
+            l.rlike(ENDS).alias("e"), l.rlike(r"[.!?]\s*$").alias("stop"),
+        )
+
+    def line(x: Column) -> Column:
+        table = ~x["odd"] & x["t"] & ~(x["stop"] & (x["n"] >= 10))  # a long sentence with commas is no row of cells
+        kind = F.when(x["m"], "m").when(table, "t").when(x["l"] & (x["n"] <= 14), "l").when(x["n"] <= 3, "s").otherwise("p")
+        return F.struct(x["c"], x["n"], kind.alias("k"), x["e"])
+
+    x = base.select("doc_id", "t", "w", "ls", F.transform(F.transform("ls", marks), line).alias("q"))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     chars = lambda k: F.aggregate(F.filter("q", lambda s: s["k"] == k), F.lit(0), lambda a, s: a + s["c"])
     count = lambda k: F.size(F.filter("q", lambda s: s["k"] == k))
@@ -109,8 +130,8 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.aggregate("q", F.lit(0), lambda a, s: a + s["n"]).alias("line_words"),
         *[chars(k).alias(f"c_{k}") for k in "mtlsp"],
         *[count(k).alias(f"n_{k}") for k in "mtls"],
-        F.regexp_count("t", F.lit(MOJIBAKE)).alias("mojibake"),
-        F.regexp_count("t", F.lit(r"[\p{L}\p{N}][\"'»”’)\]]*[.!?…](?:\s|[\"'»”’)\]]|$)|[。！？]")).alias("sentences"),
+        F.when((F.octet_length("t") > F.length("t")) | F.col("t").rlike(CONTROL), F.regexp_count("t", F.lit(MOJIBAKE))).otherwise(0).alias("mojibake"),
+        F.regexp_count("t", F.lit(SENTENCE_END)).alias("sentences"),
         F.length(F.regexp_replace(F.regexp_replace("t", r"[\x00-\u0dff]+", ""), r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]+", "")).alias("ideographs"),
         F.array(*[F.struct(c.alias("n"), F.lit(k).alias("k")) for c, k in zip(common, COMMON)]).alias("langs"),
     )
