@@ -17,3 +17,9 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
     size = sum(x * x for x in query) ** 0.5
     sim = F.try_divide(dot(vector, q), F.sqrt(dot(vector, vector)) * F.lit(size))
     return F.when(F.size(vector) == len(query), F.greatest(F.lit(0.0), sim))
+
+
+def usable_vector(vector: Column) -> Column:
+    """Whether a vector can be compared: not null, not empty, all numbers finite, not all zero."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce((F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))

@@ -88,7 +88,7 @@ def orphan_references(tables: dict[str, DataFrame], graph: list[ForeignKey], spe
     """
     direct, edges = [], []
     for fk in graph:
-        refs = _references(tables[fk.child], specs[fk.child], fk)
+        refs = written(_references(tables[fk.child], specs[fk.child], fk), "references")  # read for hot keys, the direct round and each further one
         hot = hot_keys(refs, "ref")
         met = salted_left_join(refs, _parents(tables[fk.parent], specs[fk.parent]), "ref", F.col("row_id"), hot=hot)
         reason = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("since") > F.col("made_us"), "late")
