@@ -6,9 +6,9 @@ import re
 import oracle
 import pytest
 
-from marginalia.plans import batches, numbered, retrieval, rollups, store
+from marginalia.plans import batches, numbered, retrieval, rollups, store, upkeep
 
-REGISTRIES = [numbered.registry, store.registry, retrieval.registry, rollups.registry, batches.registry]
+REGISTRIES = [numbered.registry, store.registry, retrieval.registry, rollups.registry, batches.registry, upkeep.registry]
 NAMES = [n for r in REGISTRIES for n in r.queries]
 #: Cutting by bytes is beyond SQL; see test_chunks.py.
 NO_SQL = {"i01_chunks"}
