@@ -17,8 +17,8 @@ def limited(events: DataFrame, key: str, at: str, window_s: int = 3600, limit: i
 
     Seconds are what windows are measured in. Events are first counted by key and
     second where they lie, so a key with a third of all rows becomes one row per
-    second; the chain of windows is then walked in sorted order with one open
-    window in memory. Rows without key or time are ignored.
+    second; the chain of windows is then walked in sorted order, a step per window, with one open
+    window in memory. So what a key costs is bound by the seconds of its time line, not by its rows. Rows without key or time are ignored.
     """
     kind = events.schema[key].dataType.simpleString()
     per = (
@@ -34,15 +34,16 @@ def limited(events: DataFrame, key: str, at: str, window_s: int = 3600, limit: i
         for b in batches:
             out = []
             k, s, n = b.key.to_numpy(), b.s.to_numpy(), b.n.to_numpy()
+            turns = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k))
+            last = turns[np.searchsorted(turns, np.arange(len(k)), side="right")]
             i = 0
             while i < len(b):
                 if now is None or k[i] != now or s[i] >= opened + window_s:
                     if now is not None:
                         out.append((now, opened, count, min(count, limit)))
                     now, opened, count = k[i], int(s[i]), 0
-                stop = i + 1
-                while stop < len(b) and k[stop] == now and s[stop] < opened + window_s:
-                    stop += 1
+                end = last[i]  # behind the key's rows in this batch
+                stop = i + max(1, int(np.searchsorted(s[i:end], opened + window_s)))
                 count += int(np.sum(n[i:stop]))
                 i = stop
             yield pd.DataFrame(out, columns=["key", "opened_s", "events", "allowed"])

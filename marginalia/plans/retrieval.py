@@ -225,6 +225,17 @@ def i04(spark, sf):
     return d.select("document_id", F.md5("r").alias("digest"), marks.alias("marks"))
 
 
+_CONTEXT = "(?i)(?:^|[^A-Za-z0-9_])(?:" + "|".join(X.SECRET_STARTS) + r")[^\n.]{0,180}"
+
+
+@add("i04_contexts", f"""SELECT document_id, len(list_filter(regexp_extract_all({_redact_sql("coalesce(content, '')")}, '{_CONTEXT}'),
+    lambda m: {" OR ".join(f"contains(lower(m), '{w}')" for w in X.SECRET_WORDS)})) AS contexts FROM {DOCS_SQL}""")
+def i04_contexts(spark, sf):
+    """How many passages about secrets are blacked out in each text."""
+    n = F.size(F.split(X.fully_redacted(F.coalesce("content", F.lit(""))), r"\[REDACTED_SECRET_CONTEXT\]")) - 1
+    return documents(spark, sf, "content").select("document_id", n.alias("contexts"))
+
+
 @add("i06_tokens", r"""SELECT document_id, greatest(1, n * 4 // 3, CAST(ceil(length(t) / 4.0) AS BIGINT))::BIGINT AS to_store, greatest(CAST(ceil(octet_length(encode(t)) / 4.0) AS BIGINT), n)::BIGINT AS to_send FROM (
     SELECT document_id, coalesce(content, '') AS t, len(list_filter(string_split_regex(coalesce(content, ''), '\s+'), lambda x: x <> '')) AS n FROM """ + DOCS_SQL + ")")
 def i06(spark, sf):

@@ -34,8 +34,11 @@ def at(t: str = AS_OF) -> Column:
 
 
 def once(spark: SparkSession, sf: str, name: str, key: str, *cols: str) -> DataFrame:
-    """A table's rows without repeats, of the columns asked for."""
-    return table(spark, sf, name).select(key, *cols).dropDuplicates([key])
+    """A table's rows without repeats, of the columns asked for; of rows that differ under one key always the same one, whatever order they come in."""
+    t = table(spark, sf, name).select(key, *cols)
+    if not cols:
+        return t.distinct()
+    return t.groupBy(key).agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_r")).select(key, *[f"_r.{c}" for c in cols])
 
 
 def _once(name: str, key: str, cols: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,15 +41,17 @@ def limited_stream(events: DataFrame, key: str, at: str, window_s: int = 3600, l
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         opened, count = state.get if state.exists else (None, 0)
         for b in batches:
-            out = []
-            for s, n in zip(*(lambda g: (g.index, g.to_numpy()))(b.at_s.value_counts().sort_index())):
-                s = int(s)
-                if opened is None or s >= opened + window_s:
-                    opened, count = s, 0
-                for _ in range(int(n)):
-                    count += 1
-                    out.append((k[0], s, count, count <= limit))
-            yield pd.DataFrame(out, columns=["key", "at_s", "nth", "allowed"])
+            s = np.sort(b.at_s.to_numpy())
+            nth = np.empty(len(s), np.int64)
+            i = 0
+            while i < len(s):  # a window at a time
+                if opened is None or s[i] >= opened + window_s:
+                    opened, count = int(s[i]), 0
+                stop = int(np.searchsorted(s, opened + window_s))
+                nth[i:stop] = count + np.arange(1, stop - i + 1)
+                count += stop - i
+                i = stop
+            yield pd.DataFrame({"key": [k[0]] * len(s), "at_s": s, "nth": nth, "allowed": nth <= limit})
         state.update((opened, count))
 
     e = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("key"), F.floor(F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000).alias("at_s"))
