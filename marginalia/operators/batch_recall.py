@@ -120,3 +120,24 @@ def hybrid_of_each(claims: DataFrame, key: str, text: str, vector: str, queries:
     p = p.select("query_id", key, F.coalesce("text_score", F.lit(0.0)).alias("text_score"), F.greatest(F.lit(0.0), F.coalesce(cosine, F.lit(0.0))).alias("vector_score"), "_base")
     p = p.withColumn("rank_score", F.col("text_score") + 0.45 * F.col("vector_score") + F.col("_base")).drop("_base")
     return best_of_each(p, limit, F.desc("rank_score"), F.col(key)).drop("place")
+
+
+def bm25_scores(texts: DataFrame, key: str, text: str, queries: DataFrame, query_id: str = "query_id", query: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Okapi BM25 of each text for each query of which it has a word: ``query_id, key, bm25``.
+
+    Lengths and frequencies are counted over all texts: the counts of words are added up where they lie, only those of the queries'
+    words are kept. A word weighs ``ln(1 + (N - n + 0.5) / (n + 0.5))``. Null texts count as empty ones. Ids of either side must be unique.
+    """
+    terms = query_terms(queries, query_id, query)
+    few = queries.limit(BLOCK + 1).count() <= BLOCK
+    asked = terms.select("term").distinct()
+    sized = texts.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w"), F.size(tokens(F.col(text))).alias("size"))
+    whole = sized.agg(F.count("*").alias("all_texts"), F.avg("size").alias("mean_size"))  # one row
+    words = sized.select("key", "size", F.explode("w").alias("term")).join(F.broadcast(asked) if few else asked, "term", "left_semi")
+    counted = words.groupBy("key", "term").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    held = counted.groupBy("term").agg(F.count("*").alias("texts"))
+    weight = F.log(1 + (F.col("all_texts") - F.col("texts") + 0.5) / (F.col("texts") + 0.5))
+    weighed = terms.join(held, "term").join(F.broadcast(whole)).select("query_id", "term", weight.alias("weight"), "mean_size")
+    met = counted.join(F.broadcast(weighed) if few else weighed, "term")
+    part = F.col("weight") * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
+    return met.groupBy("query_id", "key").agg(F.sum(part).alias("bm25")).withColumnRenamed("key", key)

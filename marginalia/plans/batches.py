@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.temporal import freshness, freshness_rank
-from marginalia.operators.batch_recall import best_of_each, hybrid_of_each, nearest_of_each, text_scores
+from marginalia.operators.batch_recall import best_of_each, bm25_scores, hybrid_of_each, nearest_of_each, text_scores
 from marginalia.operators.recall import active_status, authority_boost, not_superseded
 from marginalia.plans import Registry
 from marginalia.plans.retrieval import _BOOST, _FRESH, _FRESH_RANK
@@ -22,6 +22,11 @@ def _eligible(c: DataFrame, spark, sf) -> DataFrame:
     return not_superseded(c, at()).where(active_status(F.col("status"))).join(gone, "source_config_id", "left_anti")
 
 
+def _titles(spark, sf) -> DataFrame:
+    """The queries: the titles of the documents whose id is divisible by 50."""
+    return table(spark, sf, "documents").where("doc_id % 50 = 0 AND title IS NOT NULL").groupBy(F.col("doc_id").alias("query_id")).agg(F.min("title").alias("query"))
+
+
 _LIVE = f"""(SELECT * FROM ({_EFFECTIVE}) WHERE status IN ('verified', 'inferred')
     AND coalesce(source_config_id, '') NOT IN (SELECT source_config_id FROM source_configs WHERE status = 'deleted'))"""
 #: The words of a text and of a query, and the score of one for the other, as joins over all of them.
@@ -38,7 +43,7 @@ def _scores(texts: str, key: str, text: str, queries: str) -> str:
       FROM counted JOIN terms USING (term) GROUP BY query_id, {key})"""
 
 
-@add("h05_batch", f"""WITH asked AS (SELECT doc_id AS query_id, any_value(title) AS query FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL GROUP BY doc_id),
+@add("h05_batch", f"""WITH asked AS (SELECT doc_id AS query_id, min(title) AS query FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL GROUP BY doc_id),
     live AS {_LIVE}, {_scores('live', 'claim_id', 'claim_text', 'asked')}
     SELECT query_id, claim_id, round(text_score, 6) AS text_score, round(rank_score, 6) AS rank_score, freshness, place FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_FRESH_RANK}, rank_score DESC, claim_id) AS place FROM (
@@ -46,7 +51,7 @@ def _scores(texts: str, key: str, text: str, queries: str) -> str:
     WHERE place <= 5""")
 def h05_batch(spark, sf):
     """Recall for each document whose id is divisible by 50, by its title, against the claims of all scopes: one job, keyed by query."""
-    q = table(spark, sf, "documents").where("doc_id % 50 = 0 AND title IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query")).dropDuplicates(["query_id"])
+    q = _titles(spark, sf)
     c = _eligible(claims(spark, sf), spark, sf)
     s = text_scores(c, "claim_id", "claim_text", q)
     s = s.join(c.select("claim_id", "confidence", "authority", "updated_at", "expires_at"), "claim_id")
@@ -91,3 +96,40 @@ def h06_batch(spark, sf):
     q = c.where(F.col("v").isNotNull() & chosen).select(F.col("claim_id").alias("query_id"), F.col("claim_text").alias("query"), F.col("v").alias("vector"))
     out = hybrid_of_each(c, "claim_id", "claim_text", "v", q, 5, F.col("confidence") + authority_boost(F.col("authority")))
     return out.select("query_id", "claim_id", *[F.round(s, 6).alias(s) for s in ("text_score", "vector_score", "rank_score")])
+
+
+_ASKED = "asked AS (SELECT doc_id AS query_id, min(title) AS query FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL GROUP BY doc_id)"
+_BM25 = """bm AS (SELECT query_id, claim_id, sum(ln(1 + (nn - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / mean_size))) AS bm25
+      FROM counted JOIN (SELECT term, count(*)::DOUBLE AS df FROM counted GROUP BY 1) USING (term) JOIN terms USING (term) JOIN sizes USING (claim_id), (SELECT count(*)::DOUBLE AS nn, avg(size) AS mean_size FROM sizes) GROUP BY ALL)"""
+
+
+@add("h03_bm25", f"""WITH {_ASKED}, live AS {_LIVE}, {_scores('live', 'claim_id', 'claim_text', 'asked')}, sizes AS (SELECT claim_id, coalesce(len({_WORDS.format('claim_text')}), 0)::DOUBLE AS size FROM live), {_BM25}
+    SELECT query_id, claim_id, round(bm25, 6) AS bm25 FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, claim_id) <= 5""")
+def h03_bm25(spark, sf):
+    """The same queries as ``h05_batch``, ranked by BM25."""
+    c = _eligible(claims(spark, sf), spark, sf)
+    s = bm25_scores(c, "claim_id", "claim_text", _titles(spark, sf)).withColumn("r", F.round("bm25", 9))
+    return best_of_each(s, 5, F.desc("r"), F.col("claim_id")).select("query_id", "claim_id", F.round("bm25", 6).alias("bm25"))
+
+
+@add("h03_agreement", f"""WITH {_ASKED}, live AS {_LIVE}, {_scores('live', 'claim_id', 'claim_text', 'asked')}, sizes AS (SELECT claim_id, coalesce(len({_WORDS.format('claim_text')}), 0)::DOUBLE AS size FROM live), {_BM25},
+    r AS (SELECT query_id, rank() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC) AS a, rank() OVER (PARTITION BY query_id ORDER BY round(text_score, 9) DESC) AS b FROM bm JOIN scores USING (query_id, claim_id))
+    SELECT query_id, count(*) AS texts, round(corr(a, b), 6) AS correlation FROM r GROUP BY 1 HAVING count(DISTINCT a) > 1 AND count(DISTINCT b) > 1""")
+def h03_agreement(spark, sf):
+    """How far the store's own rank of texts agrees with BM25, by query: the correlation of ranks. Ranks of a query come from counts of its scores, of which there are few."""
+    c = _eligible(claims(spark, sf), spark, sf)
+    q = _titles(spark, sf)
+    s = bm25_scores(c, "claim_id", "claim_text", q).join(text_scores(c, "claim_id", "claim_text", q), ["query_id", "claim_id"])
+    s = s.select("query_id", F.round("bm25", 9).alias("a"), F.round("text_score", 9).alias("b")).groupBy("query_id", "a", "b").agg(F.count("*").alias("n"))
+
+    def ranks(col: str) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc(col)).rowsBetween(Window.unboundedPreceding, -1)
+        return s.groupBy("query_id", col).agg(F.sum("n").alias("m")).select("query_id", col, (F.coalesce(F.sum("m").over(w), F.lit(0)) + 1).alias(f"rank_{col}"))
+
+    r = s.join(ranks("a"), ["query_id", "a"]).join(ranks("b"), ["query_id", "b"])
+    x, y, n = F.col("rank_a"), F.col("rank_b"), F.col("n")
+    g = r.groupBy("query_id").agg(
+        F.sum("n").alias("texts"), *[F.sum((e * n).cast("double")).alias(k) for k, e in {"x": x, "y": y, "xy": x * y, "xx": x * x, "yy": y * y}.items()], F.count_distinct("a").alias("as"), F.count_distinct("b").alias("bs")
+    ).where("`as` > 1 AND bs > 1")
+    c = F.expr("(texts * xy - x * y) / (sqrt(texts * xx - x * x) * sqrt(texts * yy - y * y))")
+    return g.select("query_id", "texts", F.round(c, 6).alias("correlation"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import text_score
-from marginalia.operators.batch_recall import best_of_each, hybrid_of_each, nearest_of_each, text_scores
+from marginalia.operators.batch_recall import best_of_each, bm25_scores, hybrid_of_each, nearest_of_each, text_scores
 
 WORDS = "review queue retry budget claim record team owner scope rule the a of".split()
 
@@ -66,3 +66,27 @@ def test_hybrid_and_places(spark):
     assert have == by
     s = spark.createDataFrame([(1, "b", 2), (1, "a", 2), (1, "c", 1), (2, "d", 0)], "query_id int, k string, s int")
     assert {(r.query_id, r.k, r.place) for r in best_of_each(s, 2, F.desc("s"), F.col("k")).collect()} == {(1, "a", 1), (1, "b", 2), (2, "d", 1)}
+
+
+def test_bm25_equals_its_formula(spark):
+    import math
+    import re
+
+    rng = random.Random(10)
+    rows = texts(rng, 150)
+    df = spark.createDataFrame(rows, "claim_id string, claim_text string, term string")
+    asked = [(1, "review queue"), (2, "the team owner of the team"), (3, "nothing here"), (4, None)]
+    words = {i: re.findall(r"\w+", t or "") for i, t, _ in rows}
+    mean = sum(map(len, words.values())) / len(words)
+    want = {}
+    for q, text in asked:
+        for i, w in words.items():
+            s = 0.0
+            for t in dict.fromkeys(x for x in (text or "").split() if len(x) > 1):
+                n, f = sum(t in v for v in words.values()), w.count(t)
+                s += math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) if f else 0
+            if s:
+                want[q, i] = round(s, 9)
+    q = spark.createDataFrame(asked, "query_id int, query string")
+    assert {(r.query_id, r.claim_id): round(r.bm25, 9) for r in bm25_scores(df, "claim_id", "claim_text", q).collect()} == want
+    assert bm25_scores(df.limit(0), "claim_id", "claim_text", q).count() == 0
