@@ -436,3 +436,96 @@ def a08(spark, sf):
     t = F.col("source_type")
     web = F.concat(F.lit("https://"), F.when(t == "git", "gitlab").when(t == "wiki", "bitbucket").otherwise("code"), F.lit(".example/"), F.lower(t))
     return d.select("document_id", blob_address(web, F.md5("document_id"), F.regexp_replace("source_url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")).alias("address"))
+
+
+# ---- code, batches, serial runs, folded streams
+
+_FILES = """(SELECT p_partkey AS id, 'src/m' || (p_partkey % 7) || '/f' || p_partkey || '.ts' AS path, 'import { a } from "../m' || (p_partkey % 3) || '/f' || (p_partkey % 50) || '"' || chr(10) || 'import "lib' || (p_partkey % 5) || '"' || chr(10)
+    || 'const x = require(''./f' || (p_partkey % 11) || '.js'')' || chr(10) || 'export default function make' || p_partkey || '() {}' || chr(10) || 'export const size' || (p_size % 4) || ' = 1' AS content FROM part)"""
+_FOUND = " UNION ALL ".join(f"SELECT id, path, '{k}' AS kind, unnest(regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS name FROM {_FILES}" for k, p in __import__("marginalia.functions.code", fromlist=["SCRIPT"]).SCRIPT.items())
+
+
+@add("i15_imports", rf"""SELECT kind, CASE WHEN name LIKE '../%' THEN 'src/' || substr(name, 4) WHEN name LIKE './%' THEN regexp_replace(path, '[^/]+$', '') || regexp_replace(substr(name, 3), '\.js$', '') ELSE name END AS target,
+    count(DISTINCT id) AS files FROM (SELECT DISTINCT * FROM ({_FOUND})) GROUP BY ALL""")
+def i15(spark, sf):
+    """What files of script import, require, export and define, relative imports resolved; the files are written out of the parts."""
+    from marginalia.functions.code import SCRIPT, code_edges, resolved_import
+
+    p = lambda n: F.col("p_partkey") % n
+    s = lambda *parts: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in parts])
+    content = s(
+        'import { a } from "../m', p(3), "/f", p(50), '"\nimport "lib', p(5), "\"\nconst x = require('./f", p(11), ".js')\nexport default function make", F.col("p_partkey"), "() {}\nexport const size", F.col("p_size") % 4, " = 1"
+    )
+    f = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), s("src/m", p(7), "/f", F.col("p_partkey"), ".ts").alias("path"), content.alias("content"))
+    e = f.select("id", "path", F.explode(code_edges(F.col("content"), SCRIPT)).alias("e"))
+    return e.groupBy("e.kind", resolved_import(F.col("path"), F.col("e.name")).alias("target")).agg(F.count_distinct("id").alias("files"))
+
+
+_GO_FILES = """(SELECT s_suppkey AS id, 'package p' || (s_suppkey % 4) || chr(10) || chr(10) || 'import (' || chr(10) || chr(9) || '"fmt"' || chr(10) || chr(9) || 'x "lib/n' || s_nationkey || '"' || chr(10) || ')' || chr(10) || 'type T' || (s_suppkey % 6)
+    || ' struct {' || chr(10) || '}' || chr(10) || 'func (t *T) Run' || (s_suppkey % 3) || '() {' || chr(10) || '}' || chr(10) || 'func make' || s_nationkey || '[V any](v V) {' || chr(10) || '}' AS content FROM supplier)"""
+_GO_FOUND = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, unnest(regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS name FROM {_GO_FILES}" for k, p in __import__("marginalia.functions.code", fromlist=["GO"]).GO.items())
+
+
+@add("i16_definitions", f"SELECT kind, name, count(DISTINCT id) AS files FROM ({_GO_FOUND}) GROUP BY ALL")
+def i16(spark, sf):
+    """Packages, imports, functions, methods and types of files that are written out of the suppliers."""
+    from marginalia.functions.code import GO, code_edges
+
+    s = lambda *parts: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in parts])
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    content = s("package p", k % 4, '\n\nimport (\n\t"fmt"\n\tx "lib/n', n, '"\n)\ntype T', k % 6, " struct {\n}\nfunc (t *T) Run", k % 3, "() {\n}\nfunc make", n, "[V any](v V) {\n}")
+    e = table(spark, sf, "supplier").select(k.alias("id"), F.explode(code_edges(content, GO)).alias("e"))
+    return e.groupBy("e.kind", "e.name").agg(F.count_distinct("id").alias("files"))
+
+
+@add("a26_planned", f"""WITH RECURSIVE d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run ORDER BY document_id) AS nth FROM (
+      SELECT document_id, coalesce(source_config_id, '') || strftime(ingested_at, '%Y-%m') AS run, octet_length(encode(coalesce(content, '')))::BIGINT AS bytes, 1 + length(coalesce(content, '')) // 1200 AS chunks FROM {DOCS_SQL}) WHERE run IS NOT NULL),
+    f AS (SELECT run, nth, document_id, 0 AS batch, 1 AS n, bytes AS b, chunks AS c FROM d WHERE nth = 1
+      UNION ALL SELECT d.run, d.nth, d.document_id, CASE WHEN n + 1 > 6 OR b + bytes > 12000 OR c + chunks > 12 THEN batch + 1 ELSE batch END, CASE WHEN n + 1 > 6 OR b + bytes > 12000 OR c + chunks > 12 THEN 1 ELSE n + 1 END,
+        CASE WHEN n + 1 > 6 OR b + bytes > 12000 OR c + chunks > 12 THEN bytes ELSE b + bytes END, CASE WHEN n + 1 > 6 OR b + bytes > 12000 OR c + chunks > 12 THEN chunks ELSE c + chunks END FROM f JOIN d ON d.run = f.run AND d.nth = f.nth + 1)
+    SELECT document_id, run, batch FROM f""")
+def a26(spark, sf):
+    """Each month's documents of a source in batches of at most 6 documents, 12,000 bytes and 12 chunks."""
+    from marginalia.operators.planning import planned
+
+    d = documents(spark, sf, "source_config_id", "ingested_at", "content")
+    text = F.coalesce("content", F.lit(""))
+    run = F.concat(F.coalesce("source_config_id", F.lit("")), F.date_format("ingested_at", "yyyy-MM"))
+    d = d.select("document_id", run.alias("run"), F.lit(1).alias("n"), F.octet_length(text).cast("bigint").alias("bytes"), F.expr("1 + length(coalesce(content, '')) div 1200").alias("chunks"))
+    return planned(d, "run", ["document_id"], {"n": 6, "bytes": 12_000, "chunks": 12}).select("document_id", "run", "batch")
+
+
+@add("k06_serial", f"""WITH j AS (SELECT source, job_id, epoch_us(updated_at) AS moment, 30000000 * (1 + documents_seen * documents_seen) AS took FROM {JOBS_SQL}),
+    s AS (SELECT *, sum(took) OVER (PARTITION BY source ORDER BY moment, job_id) AS s FROM j),
+    e AS (SELECT *, s + max(moment - s + took) OVER (PARTITION BY source ORDER BY moment, job_id ROWS UNBOUNDED PRECEDING) AS ends FROM s)
+    SELECT source, count(*) AS jobs, max(ends - took - moment)::BIGINT AS longest_wait_us, (sum(ends - took - moment) // 1000000)::BIGINT AS waited_s, max(ends)::BIGINT AS done_us FROM e GROUP BY 1""")
+def k06(spark, sf):
+    """How long jobs wait if each source's run one after the other, as against all at once."""
+    from marginalia.operators.loads import serial_ends
+
+    j = jobs(spark, sf).select("source", "job_id", micros("updated_at").alias("at_us"), (F.lit(30_000_000) * (1 + F.col("documents_seen") * F.col("documents_seen"))).alias("took_us"))
+    g = serial_ends(j, "source", "job_id", "at_us", "took_us").groupBy("source")
+    return g.agg(F.count("*").alias("jobs"), F.max("waited_us").alias("longest_wait_us"), F.expr("sum(waited_us) div 1000000").alias("waited_s"), F.max("end_us").alias("done_us"))
+
+
+@add("k08_folded", "SELECT event_type, count(*) AS events, max(event_id) AS last_event FROM events GROUP BY 1")
+def k08(spark, sf):
+    """Events delivered as a stream of files and folded into a table of which each batch writes the next version; the cursor moves on when a version is written."""
+    import uuid
+
+    from marginalia.streaming.intake import keep_snapshot
+
+    path = f"{shared_dir(spark)}/folded-{uuid.uuid4().hex}"
+    counts = lambda d: d.groupBy("event_type").agg(F.count("*").alias("events"), F.max("event_id").alias("last_event"))
+
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        new = counts(batch)
+        both = new if old is None else old.unionByName(new)
+        return both.groupBy("event_type").agg(F.sum("events").alias("events"), F.max("last_event").alias("last_event"))
+
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    q = keep_snapshot(stream.select("event_type", "event_id"), path, f"{path}-cursor", merge)
+    q.awaitTermination()
+    versions = [r["batchId"] for r in q.recentProgress if r["numInputRows"]]
+    return spark.read.parquet(f"{path}/v={max(versions)}") if versions else counts(table(spark, sf, "events"))

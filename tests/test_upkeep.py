@@ -111,3 +111,61 @@ def test_git(spark, tmp_path):
     df = spark.createDataFrame([("https://h.org/a/", sha, "/docs/a b#1.md"), ("https://gitlab.h.org/a", sha, "x"), (None, sha, "x")], "w string, c string, p string")
     got = [r[0] for r in df.select(blob_address(F.col("w"), F.col("c"), F.col("p"))).collect()]
     assert got == [f"https://h.org/a/blob/{sha}/docs/a%20b%231.md", f"https://gitlab.h.org/a/-/blob/{sha}/x", None]
+
+
+def test_code_edges(spark):
+    from marginalia.functions.code import GO, SCRIPT, code_edges, resolved_import
+
+    script = "import React, { useState } from 'react'\nimport './style.css'\nconst fs = require(\"fs\")\nexport default class Page {}\nexport const one = 1\nfunction helper() {}\nimport 'react'"
+    go = 'package main\n\nimport "os"\nimport (\n\t"fmt"\n\tx "a/b"\n)\n\ntype Set[T any] struct{}\nfunc (s *Set) Add(v int) {}\nfunc New[T any]() {}\nfunc main() {}\n'
+    df = spark.createDataFrame([(script, go), (None, None), ("", "")], "s string, g string")
+    got = [({tuple(e) for e in r.a}, {tuple(e) for e in r.b}) for r in df.select(code_edges(F.col("s"), SCRIPT).alias("a"), code_edges(F.col("g"), GO).alias("b")).collect()]
+    assert got[0][0] == {("imports", "react"), ("imports", "./style.css"), ("requires", "fs"), ("exports", "Page"), ("exports", "one"), ("defines", "Page"), ("defines", "helper")}
+    assert got[0][1] == {("package", "main"), ("imports", "os"), ("imports", "fmt"), ("imports", "a/b"), ("types", "Set"), ("methods", "Add"), ("functions", "New"), ("functions", "main")}
+    assert got[1] == got[2] == (set(), set())
+    paths = {("src/a/b.ts", "./c"): "src/a/c", ("src/a/b.ts", "../c/d.js"): "src/c/d", ("b.ts", "../../x"): "x", ("src/b.ts", "lib/x.js"): "lib/x.js", ("src/b.ts", "."): "src"}
+    df = spark.createDataFrame([(p, n, want) for (p, n), want in paths.items()], "p string, n string, want string")
+    assert [r[0] for r in df.where(resolved_import(F.col("p"), F.col("n")) != F.col("want")).select(F.concat("p", "n")).collect()] == []
+
+
+def test_planned_batches(spark):
+    import random
+
+    from marginalia.operators.planning import planned
+
+    rng = random.Random(12)
+    items = [(i, rng.choice(["a", "b"]), rng.choice([None, 1, 5, 9, 30]), 1, "x") for i in range(400)] + [(900, None, 1, 1, "x")]
+    want = {}
+    for run in "ab":
+        batch = size = n = 0
+        for i, r, s, _, _ in items:
+            if r == run:
+                if n and (n + 1 > 7 or size + (s or 0) > 20):
+                    batch, size, n = batch + 1, 0, 0
+                want[i] = batch
+                size, n = size + (s or 0), n + 1
+    df = spark.createDataFrame(items, "id int, run string, bytes int, n int, extra string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        assert {r.id: r.batch for r in planned(df, "run", ["id"], {"n": 7, "bytes": 20}).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert planned(df.limit(0), "run", ["id"], {"n": 7}).count() == 0
+
+
+def test_serial_runs(spark):
+    import random
+
+    from marginalia.operators.loads import serial_ends
+
+    rng = random.Random(13)
+    jobs = [(i, rng.choice(["s", "t", None]), rng.choice([None] + [rng.randint(0, 3000)] * 20), rng.choice([0, 3, 40])) for i in range(300)]
+    want = {}
+    for key in "st":
+        end = None
+        for i, _, at, took in sorted((j for j in jobs if j[1] == key and j[2] is not None), key=lambda j: (j[2], j[0])):
+            end = max(at, end if end is not None else at) + took
+            want[i] = (end, end - took - at)
+    df = spark.createDataFrame(jobs, "job_id int, source string, at bigint, took bigint")
+    for bucket in (50, 1_000_000):
+        assert {r.job_id: (r.end_us, r.waited_us) for r in serial_ends(df, "source", "job_id", "at", "took", bucket).collect()} == want
