@@ -112,6 +112,24 @@ def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     return p2_found(spark, sf).groupBy("source_config_id", "snapshot_no", "change_kind").agg(F.count("*").alias("documents"))
 
 
+#: Columns that a list says of a document besides its text.
+SIDE = ["title", "authority", "freshness_status"]
+_SIDE = ", ".join(f"coalesce({c}, '') AS {c}" for c in SIDE)
+_P2_SIDE = _P2.replace("AS checksum\n      FROM document_snapshots", f"AS checksum, {_SIDE}\n      FROM document_snapshots").replace(
+    "max({'t': ingested_at, 'c': checksum}).c AS checksum", "unnest(max({'t': ingested_at, 'checksum': checksum, " + ", ".join(f"'{c}': {c}" for c in SIDE) + "}))"
+).replace("FROM cased GROUP BY ALL", "FROM cased GROUP BY source_config_id, scope, lower(head) || substr(bare, length(head) + 1), snapshot_no, before, after")
+
+
+@add("p2_fields", _P2_SIDE + f""", both AS (
+      SELECT CASE WHEN a.checksum <> b.checksum THEN 'changed' ELSE 'touched' END AS change_kind, unnest([{", ".join(f"CASE WHEN a.{c} <> b.{c} THEN '{c}' END" for c in SIDE)}]) AS field
+      FROM docs b JOIN docs a ON a.source_config_id = b.source_config_id AND a.scope IS NOT DISTINCT FROM b.scope AND a.source_url = b.source_url AND a.snapshot_no = b.before)
+    SELECT change_kind, field, count(*) AS documents FROM both WHERE field IS NOT NULL GROUP BY ALL""".replace(", both AS", ", pairs AS").replace("FROM both", "FROM pairs"))
+def p2_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each side column differs between a list and the one before, of documents with another text and with the same."""
+    c = snapshot_changes(table(spark, sf, "document_snapshots"), SIDE).where("fields <> ''")
+    return c.select("change_kind", F.explode(F.split("fields", ",")).alias("field")).groupBy("change_kind", "field").agg(F.count("*").alias("documents"))
+
+
 def _norm(c: str) -> str:
     return rf"nullif(lower(regexp_replace({c}, '^[ \t]+|[ \t]+$', '', 'g')), '')"
 

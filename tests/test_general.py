@@ -89,6 +89,16 @@ def test_orphans_of_orphans_end_in_a_fixpoint(spark):
     assert sorted((r.depth, r.row_id) for r in got) == [(i, f"n{i}") for i in range(6)]
 
 
+def test_side_columns_are_compared_as_well(spark):
+    rows = [
+        (1, 1, "s", "u1", "p", "a", "x", 1), (1, 1, "s", "u2", "p", "a", "x", 1), (1, 1, "s", "u3", None, "a", None, None), (1, 1, "s", "u4", "p", "a", "x", 1),
+        (2, 1, "s", "u1", "p", "b", "y", 1), (2, 1, "s", "u2", "p", "a", "y", 2), (2, 1, "s", "u3", None, "a", "", None), (2, 1, "s", "u5", "p", "a", "x", 1),
+    ]
+    df = spark.createDataFrame([(*r[:6], dt.datetime(2025, 1, 1), r[6], r[7]) for r in rows], "snapshot_no int, delivery_no int, source_config_id string, source_url string, scope string, content_checksum string, ingested_at timestamp_ntz, title string, seen int")
+    got = {(r.source_url, r.change_kind, r.fields) for r in snapshot_changes(df, ["title", "seen"]).collect()}
+    assert got == {("u1", "changed", "title"), ("u2", "touched", "title,seen"), ("u4", "removed", ""), ("u5", "added", "")}
+
+
 def test_salted_join_equals_a_plain_one(spark):
     left = spark.range(60_000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise((F.col("id") % 50).cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("7", 2), (None, 3)], "k string, v int")
