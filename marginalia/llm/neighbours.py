@@ -253,6 +253,7 @@ def most_similar_vectors(vectors: DataFrame, k: int = 10, layout: Layout = Layou
     measured against brute force in the tests.
     """
     spark = vectors.sparkSession
+    vectors = vectors.where("kind IS NOT NULL AND vector IS NOT NULL")
     hashed = vectors.select("kind", F.xxhash64("vector").alias("v1"), F.xxhash64(F.lit(1), "vector").alias("v2"), "vector")
     reps = hashed.groupBy("kind", "v1", "v2").agg(F.first("vector").alias("vector"))
     sizes = {r.kind: r.n for r in vectors.groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind").collect()}
@@ -331,8 +332,10 @@ def similar_ids(vectors: DataFrame, k: int = 10, least: float | None = None, lay
     """For every id, the k most similar other ids of its kind: ``kind, id, other, sim``; those below ``least`` left out.
 
     Of equal similarity the smaller id comes first; ids of one and the same vector
-    are at 1. Rows repeated under one id are one vector. An id of which no other is there has no row.
+    are at 1. Rows repeated under one id are one vector. An id of which no other is there has no row. Rows with a null
+    kind, id or vector take no part; vectors must be ``usable``.
     """
+    vectors = vectors.where("kind IS NOT NULL AND id IS NOT NULL AND vector IS NOT NULL")
     ids = _copies(vectors)
     near = most_similar_vectors(vectors, k, layout, least)
     pairs = near.select("kind", "v1", "v2", F.explode("near").alias("n")).select(

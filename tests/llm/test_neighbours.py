@@ -127,6 +127,13 @@ def test_usable(spark, v, d, ok):
     assert df.select(usable(F.col("v"), F.col("d")).alias("x")).first().x is ok
 
 
+def test_nulls_and_extra_columns(spark):
+    v = vectors(spark, np.eye(3) + 0.5).unionByName(spark.createDataFrame([(None, "x", [1.0] * 3), ("k", None, [1.0] * 3), ("k", "y", None)], SCHEMA))
+    v = v.withColumns({"v1": F.lit("clash"), "sim": F.lit(0), "task": F.lit(None).cast("int")})
+    got = similar_ids(v, 2).collect()
+    assert {r.id for r in got} == {f"v{i:06d}" for i in range(3)} == {r.other for r in got} and len(got) == 6
+
+
 def test_empty_and_single(spark):
     one = vectors(spark, np.ones((1, 3)))
     assert similar_ids(one).count() == 0 and similar_ids(one.limit(0)).count() == 0 and similar_pairs(one.limit(0)).count() == 0
