@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.keys import plain_key
-from marginalia.operators.skew import hot_keys, salted_left_join
+from marginalia.operators.skew import hot_keys_of_each, salted_left_join
 from marginalia.session import written
 from marginalia.sources.tables import micros
 
@@ -87,9 +87,12 @@ def orphan_references(tables: dict[str, DataFrame], graph: list[ForeignKey], spe
     salted. Each round is written to the shared folder.
     """
     direct, edges = [], []
-    for fk in graph:
-        refs = written(_references(tables[fk.child], specs[fk.child], fk), "references")  # read for hot keys, the direct round and each further one
-        hot = hot_keys(refs, "ref")
+    # Read for hot keys, the direct round and each further one.
+    every = reduce(DataFrame.unionByName, [_references(tables[fk.child], specs[fk.child], fk).withColumn("fk", F.lit(i)) for i, fk in enumerate(graph)])
+    every = written(every, "references", by="fk")
+    hots = hot_keys_of_each(every, "fk", "ref")
+    for i, fk in enumerate(graph):
+        refs, hot = every.where(F.col("fk") == i).drop("fk"), hots.get(i, [])
         met = salted_left_join(refs, _parents(tables[fk.parent], specs[fk.parent]), "ref", F.col("row_id"), hot=hot)
         reason = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("since") > F.col("made_us"), "late")
         named = met.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,16 @@ def hot_keys(df: DataFrame, key: str, most: int = 500, rows: int = 10_000) -> li
     return [r.k for r in counts.orderBy(F.desc("n"), "k").limit(most).collect()]
 
 
+def hot_keys_of_each(df: DataFrame, group: str, key: str, most: int = 500, rows: int = 10_000) -> dict:
+    """``hot_keys`` of each of a few groups, in one job."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(group).alias("g"), F.col(key).alias("k")).agg(F.count("*").alias("n")).where(F.col("n") >= rows)
+    top = counts.withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "k"))).where(F.col("nth") <= most)
+    found: dict = {}
+    for r in top.collect():
+        found.setdefault(r.g, []).append(r.k)
+    return found
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 32, how: str = "left", hot: list | None = None) -> DataFrame:
     """``left`` joined to ``right`` (one row a key) on ``key``, with the rows of hot keys dealt over ``salts`` tasks.
 

@@ -53,15 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
 _fallback: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
+def written(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
     """``df`` written as a table to the shared folder and read back.
 
     Cuts the lineage in a way that survives lost executors, and keeps a
-    result that is used several times from being computed several times.
+    result that is used several times from being computed several times. ``by``, the last column, with few values:
+    each has a folder, so that a reader of one reads no other.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,7 @@ from marginalia.operators.packing import packed
 from marginalia.operators.policies import policy_conflicts
 from marginalia.operators.ranks import nearest_ranks
 from marginalia.operators.references import ForeignKey, Table, orphan_references
-from marginalia.operators.skew import hot_keys, salted_left_join
+from marginalia.operators.skew import hot_keys, hot_keys_of_each, salted_left_join
 from marginalia.operators.snapshots import snapshot_changes
 
 LISTS = "snapshot_no int, delivery_no int, source_config_id string, source_url string, scope string, content_checksum string, ingested_at timestamp_ntz, url string, checksum int, seen int"
@@ -103,6 +103,7 @@ def test_salted_join_equals_a_plain_one(spark):
     left = spark.range(60_000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise((F.col("id") % 50).cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("7", 2), (None, 3)], "k string, v int")
     assert hot_keys(left, "k") == ["hot"]
+    assert hot_keys_of_each(left.withColumn("g", F.col("row") % 2), "g", "k", rows=1000) == {0: ["hot"], 1: ["hot"]} and hot_keys_of_each(left, "row", "k") == {}
     for how in ("left", "inner"):
         a = salted_left_join(left, right, "k", F.col("row"), how=how).groupBy("k", "v").count()
         b = left.join(right, "k", how).groupBy("k", "v").count()
