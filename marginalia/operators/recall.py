@@ -81,8 +81,9 @@ def recall_hybrid(claims: DataFrame, sources: DataFrame, q: str, vector: list[fl
 
 
 def recall_chunks(chunks: DataFrame, documents: DataFrame, q: str, limit: int = 5) -> DataFrame:
-    """The chunks that meet a query best, with their documents: ``chunk_id, document_id, title, text_score``."""
-    c = chunks.withColumn("text_score", text_score(F.col("content"), q)).where("text_score > 0")
+    """The chunks that meet a query best, with their documents: ``chunk_id, document_id, title, text_score``. Chunks may bring their score instead of their content."""
+    c = chunks if "text_score" in chunks.columns else chunks.withColumn("text_score", text_score(F.col("content"), q))
+    c = c.where("text_score > 0")
     live = documents.where("status <> 'deleted'").select("document_id", "title", "ingested_at")
     d = c.select("chunk_id", "document_id", "chunk_index", "text_score").join(live, "document_id")
     return d.orderBy(F.desc("text_score"), F.desc("ingested_at"), "chunk_index", "chunk_id").limit(limit).select("chunk_id", "document_id", "title", "text_score")

@@ -85,7 +85,7 @@ def h06(spark, sf):
       FROM (SELECT DISTINCT ON (chunk_id) chunk_id, document_id, chunk_index, content FROM chunks) c JOIN {DOCS_SQL} d ON d.document_id = c.document_id WHERE d.status <> 'deleted')
     WHERE text_score > 0 ORDER BY text_score DESC, ingested_at DESC, chunk_index, chunk_id LIMIT 20""")
 def h07(spark, sf):
-    c = once(spark, sf, "chunks", "chunk_id", "document_id", "chunk_index", "content")
+    c = once(spark, sf, "chunks", "chunk_id", "document_id", "chunk_index", "content", instead={"content": ("text_score", X.text_score(F.col("content"), QUERY))})
     return _rounded(R.recall_chunks(c, documents(spark, sf, "title", "ingested_at", "status"), QUERY, 20), "text_score")
 
 

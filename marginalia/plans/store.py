@@ -33,12 +33,18 @@ def at(t: str = AS_OF) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{t}'")
 
 
-def once(spark: SparkSession, sf: str, name: str, key: str, *cols: str) -> DataFrame:
-    """A table's rows without repeats, of the columns asked for; of rows that differ under one key always the same one, whatever order they come in."""
+def once(spark: SparkSession, sf: str, name: str, key: str, *cols: str, instead: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """A table's rows without repeats, of the columns asked for; of rows that differ under one key always the same one, whatever order they come in.
+
+    ``instead``: by column, a name and an expression on it; the expression is worked out where the rows are, and stands in the column's place in the
+    shuffle and the result (so that long texts stay where they are).
+    """
     t = table(spark, sf, name).select(key, *cols)
     if not cols:
         return t.distinct()
-    return t.groupBy(key).agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_r")).select(key, *[f"_r.{c}" for c in cols])
+    kept = [(instead or {}).get(c, (c, F.col(c))) for c in cols]
+    rows = t.select(key, F.struct(*[e.alias(n) for n, e in kept]).alias("_r"), F.xxhash64(*cols).alias("_h"))
+    return rows.groupBy(key).agg(F.min_by("_r", "_h").alias("_r")).select(key, *[f"_r.{n}" for n, _ in kept])
 
 
 def _once(name: str, key: str, cols: str) -> str:

@@ -12,6 +12,7 @@ from marginalia.operators import upkeep as U
 from marginalia.plans import Registry
 from marginalia.plans.store import AS_OF, AS_OF_EVENTS, CLAIMS_SQL, DOCS_SQL, JOBS_SQL, at, claims, documents, jobs, once
 from marginalia.session import shared_dir
+from marginalia.sources import transcripts as T
 from marginalia.sources.jsonl import read_jsonl, without_lineage
 from marginalia.sources.tables import micros, table
 
@@ -529,3 +530,18 @@ def k08(spark, sf):
     q.awaitTermination()
     versions = [r["batchId"] for r in q.recentProgress if r["numInputRows"]]
     return spark.read.parquet(f"{path}/v={max(versions)}") if versions else counts(table(spark, sf, "events"))
+
+
+_ROLE = "(?:user|human|customer|assistant|agent|ai|bot|system|tool)"
+_USER = "(?:user|human|customer)"
+
+
+@add("i37_preferences", rf"""WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?mi)^([ \t]*{_ROLE}[ \t]*:)', chr(1) || '\1', 'g'), chr(1))) AS part FROM documents),
+    t AS (SELECT doc_id, lower(regexp_replace(part, '(?i)^[ \t]*{_USER}[ \t]*:', '')) AS said FROM p WHERE regexp_matches(part, '(?i)^[ \t]*{_USER}[ \t]*:'))
+    SELECT doc_id, count(*) AS turns, count(*) FILTER (WHERE len(list_filter({T.PREFERS!r}, lambda m: contains(said, m))) > 0 AND len(list_filter({T.DENIES!r}, lambda m: contains(said, m))) = 0) AS preferences FROM t GROUP BY 1""".replace('"i don\'t want"', "'i don''t want'"))
+def i37(spark, sf):
+    """How many of each conversation's turns of users state a preference."""
+    t = T.turns(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").where("role = 'user'")
+    n = T.preferences(t).groupBy("doc_id").agg(F.count("*").alias("p"))
+    every = t.groupBy("doc_id").agg(F.count("*").alias("turns"))
+    return every.join(n, "doc_id", "left").select("doc_id", "turns", F.coalesce("p", F.lit(0)).alias("preferences"))

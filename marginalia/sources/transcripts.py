@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 # Who speaks, by the names in use.
 ROLES = {"user": "user", "human": "user", "customer": "user", "assistant": "assistant", "agent": "assistant", "ai": "assistant", "bot": "assistant", "system": "system", "tool": "tool"}
 START = r"(?i)^[ \t]*(" + "|".join(ROLES) + r")[ \t]*:"
-# What a lasting preference sounds like, and what it doesn't.
-PREFERS = ["i prefer", "prefer ", "please always", "always use", "from now on", "call me", "saya lebih suka", "mulai sekarang", "tolong selalu"]
-DENIES = ["don't remember", "do not remember", "forget this", "jangan ingat"]
+# What a preference sounds like, in English and Indonesian, and what says that there is none.
+PREFERS = [
+    "i prefer", "i like", "i want", "i don't want", "i do not want", "please", "my preference", "my taste", "style",
+    "saya prefer", "saya suka", "aku suka", "lebih suka", "preferensi", "jangan", "tolong", "mending", "harusnya", "sebaiknya",
+]
+DENIES = ["no preference", "not a preference", "not preference", "without preference", "tanpa preferensi", "bukan preferensi", "tidak ada preferensi", "nggak ada preferensi", "gak ada preferensi"]
 
 
 def turns(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -36,7 +36,10 @@ def test_turns_and_preferences(spark):
     t = turns(d, "id", "text").cache()
     assert [(r.id, r.turn, r.role, r.said) for r in t.orderBy("id", "turn").collect()] == [
         (1, 0, "user", "I prefer tabs\nand more"), (1, 1, "assistant", "noted"), (4, 0, "user", "from now on, be short"), (4, 1, "user", "do not remember that I prefer it")]
-    assert sorted((r.id, r.turn) for r in preferences(t).collect()) == [(1, 0), (4, 0)]
+    assert sorted((r.id, r.turn) for r in preferences(t).collect()) == [(1, 0), (4, 1)]
+    said = ["No preference, but tolong be short", "Sebaiknya pakai tab", "from now on", None, ""]
+    t = spark.createDataFrame([(i, "user", s) for i, s in enumerate(said)] + [(9, "assistant", "please"), (10, None, "please")], "id int, role string, said string")
+    assert [r.id for r in preferences(t).collect()] == [1]
 
 
 def test_intervals(spark):
