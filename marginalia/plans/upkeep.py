@@ -501,12 +501,12 @@ def a26(spark, sf):
     e AS (SELECT *, s + max(moment - s + took) OVER (PARTITION BY source ORDER BY moment, job_id ROWS UNBOUNDED PRECEDING) AS ends FROM s)
     SELECT source, count(*) AS jobs, max(ends - took - moment)::BIGINT AS longest_wait_us, (sum(ends - took - moment) // 1000000)::BIGINT AS waited_s, max(ends)::BIGINT AS done_us FROM e GROUP BY 1""")
 def k06(spark, sf):
-    """How long jobs wait if each source's run one after the other, as against all at once."""
+    """How long jobs wait if each source's run one after the other, as against all at once. The waits of 300,000 jobs of a source add up to more microseconds than 64 bits hold."""
     from marginalia.operators.loads import serial_ends
 
     j = jobs(spark, sf).select("source", "job_id", micros("updated_at").alias("at_us"), (F.lit(30_000_000) * (1 + F.col("documents_seen") * F.col("documents_seen"))).alias("took_us"))
     g = serial_ends(j, "source", "job_id", "at_us", "took_us").groupBy("source")
-    return g.agg(F.count("*").alias("jobs"), F.max("waited_us").alias("longest_wait_us"), F.expr("sum(waited_us) div 1000000").alias("waited_s"), F.max("end_us").alias("done_us"))
+    return g.agg(F.count("*").alias("jobs"), F.max("waited_us").alias("longest_wait_us"), F.expr("sum(cast(waited_us AS decimal(20, 0))) div 1000000").alias("waited_s"), F.max("end_us").alias("done_us"))
 
 
 @add("k08_folded", "SELECT event_type, count(*) AS events, max(event_id) AS last_event FROM events GROUP BY 1")

@@ -169,3 +169,19 @@ def test_serial_runs(spark):
     df = spark.createDataFrame(jobs, "job_id int, source string, at bigint, took bigint")
     for bucket in (50, 1_000_000):
         assert {r.job_id: (r.end_us, r.waited_us) for r in serial_ends(df, "source", "job_id", "at", "took", bucket).collect()} == want
+
+
+def test_waits_that_add_up_beyond_64_bits(spark, tmp_path):
+    """140,000 jobs of one source at one moment: each waits for all before it, 1,110 s apiece, 10.9e18 microseconds in all."""
+    import duckdb
+
+    from marginalia.plans import upkeep
+
+    n = 140_000
+    e = spark.range(n).select((F.col("id") * 7 + 6).alias("event_id"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'").alias("ts"), F.lit(5).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    (got,) = upkeep.registry.queries["k06_serial"](spark, str(tmp_path)).collect()
+    assert (got.jobs, got.longest_wait_us, got.waited_s) == (n, 1_110_000_000 * (n - 1), 1_110 * n * (n - 1) // 2)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert con.execute(upkeep.registry.sql["k06_serial"]).fetchall() == [tuple(got)]
