@@ -33,17 +33,18 @@ def at(t: str = AS_OF) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{t}'")
 
 
-def once(spark: SparkSession, sf: str, name: str, key: str, *cols: str, instead: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+def once(spark: SparkSession, sf: str, name: str, key: str, *cols: str, instead: dict[str, tuple[str, Column]] | None = None, first: str | None = None) -> DataFrame:
     """A table's rows without repeats, of the columns asked for; of rows that differ under one key always the same one, whatever order they come in.
 
     ``instead``: by column, a name and an expression on it; the expression is worked out where the rows are, and stands in the column's place in the
-    shuffle and the result (so that long texts stay where they are).
+    shuffle and the result (so that long texts stay where they are). ``first``: of rows that differ, the one with the smallest value of this column, nulls last.
     """
     t = table(spark, sf, name).select(key, *cols)
     if not cols:
         return t.distinct()
     kept = [(instead or {}).get(c, (c, F.col(c))) for c in cols]
-    rows = t.select(key, F.struct(*[e.alias(n) for n, e in kept]).alias("_r"), F.xxhash64(*cols).alias("_h"))
+    h = F.xxhash64(*cols)
+    rows = t.select(key, F.struct(*[e.alias(n) for n, e in kept]).alias("_r"), (F.struct(F.isnull(first), first, h) if first else h).alias("_h"))
     return rows.groupBy(key).agg(F.min_by("_r", "_h").alias("_r")).select(key, *[f"_r.{n}" for n, _ in kept])
 
 
@@ -410,12 +411,12 @@ def d29(spark, sf):
 @add("e01_cancelled", """SELECT update_id FROM (SELECT DISTINCT ON (update_id) * FROM claim_updates) QUALIFY row_number() OVER (PARTITION BY claim_id, scope, lower(trim(status)), source_config_id
     ORDER BY received_at DESC, update_id DESC) > 1""")
 def e01(spark, sf):
-    """All but the newest update of a kind: those that differ from their group's newest, which one aggregation finds."""
-    u = once(spark, sf, "claim_updates", "update_id", "claim_id", "scope", "status", "source_config_id", "received_at")
+    """All but the newest update of a kind: those that differ from their group's newest, which one aggregation finds. Of an update's rows the one received first counts."""
+    u = once(spark, sf, "claim_updates", "update_id", "claim_id", "scope", "status", "source_config_id", "received_at", first="received_at")
     k = F.to_json(F.array(*[F.coalesce(c, F.lit("\1")) for c in ("claim_id", "scope", F.lower(F.trim("status")), "source_config_id")]))
     u = u.select("update_id", "received_at", k.alias("k"))
-    top = u.groupBy("k").agg(F.max(F.struct("received_at", "update_id")).alias("t"))
-    return u.select("update_id").join(top.select("t.update_id"), "update_id", "left_anti")
+    top = u.groupBy("k").agg(F.max(F.struct("received_at", "update_id")).alias("t")).select(F.col("t.update_id").alias("top"))
+    return u.select("update_id").join(top, F.col("update_id").eqNullSafe(F.col("top")), "left_anti")
 
 
 @add("e03_latest_job", f"""SELECT source, job_id, status FROM {JOBS_SQL} QUALIFY row_number() OVER (PARTITION BY source ORDER BY updated_at DESC, job_id DESC) = 1""")

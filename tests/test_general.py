@@ -208,3 +208,21 @@ def test_limits(spark):
 @pytest.mark.parametrize("rows", [[], [("a", None)]])
 def test_limits_without_events(spark, rows):
     assert limited(spark.createDataFrame(rows, "k string, ts timestamp_ntz"), "k", "ts").count() == 0
+
+
+def test_cancelled_updates_take_the_row_received_first(spark, tmp_path):
+    """Update 1 came again later: by its first row, update 2 is the newest of its kind. An update without id, or received at no time, is one as well."""
+    import duckdb
+
+    from marginalia.plans import store
+
+    day = lambda d: d and dt.datetime(2025, 1, d)
+    rows = [(10 * k + i, f"c{k}", "p", status, "s", day(d)) for k in range(8) for i, status, d in [(1, "Verified", 1), (2, "verified", 2), (1, "verified ", 9 + k), (1, "verified", None), (3, "expired", 4)]]
+    rows += [(None, "n", "p", "verified", "s", day(5)), (90, "n", "p", "verified", "s", day(4)), (91, None, "p", None, "s", day(4)), (92, None, "p", None, "s", None)]
+    df = spark.createDataFrame(rows, "update_id bigint, claim_id string, scope string, status string, source_config_id string, received_at timestamp_ntz")
+    df.coalesce(1).write.parquet(f"{tmp_path}/claim_updates.parquet")
+    got = sorted((r.update_id for r in store.registry.queries["e01_cancelled"](spark, str(tmp_path)).collect()), key=lambda i: (i is None, i))
+    assert got == [10 * k + 1 for k in range(8)] + [90, 92]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW claim_updates AS SELECT * FROM read_parquet('{tmp_path}/claim_updates.parquet/*.parquet')")
+    assert sorted(r for (r,) in con.execute(store.registry.sql["e01_cancelled"]).fetchall()) == got
